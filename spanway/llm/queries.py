@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanway.llm.common import table
+from spanway.llm.pii import find_personal_data
+from spanway.llm.sharding import OP2_SQL, place_documents
 from spanway.llm.token_counts import count_tokens
 from spanway.llm.token_files import token_digest
+from spanway.llm.winnowing import OP8_SQL, decontaminate
 
 
 def vocabulary() -> str:
@@ -17,17 +20,35 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_sharding": op2_sharding,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+    "op8_decontamination": OP8_SQL,
+}
