@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanway.llm.common import table
+from spanway.llm.maxscore import OP6_SQL, search
+from spanway.llm.minhash import document_components
+from spanway.llm.mixing import weigh
 from spanway.llm.pii import find_personal_data
 from spanway.llm.sharding import OP2_SQL, place_documents
 from spanway.llm.token_counts import count_tokens
@@ -28,6 +32,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_components(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weigh(table(spark, sf_dir, "documents"))
+
+
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -43,6 +59,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op5_mixing": op5_mixing,
+    "op6_vector_search": op6_vector_search,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,
@@ -50,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op6_vector_search": OP6_SQL,
     "op8_decontamination": OP8_SQL,
 }
