@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanway.llm.common import table
+from spanway.llm.hmm import score_texts
 from spanway.llm.maxscore import OP6_SQL, search
 from spanway.llm.minhash import document_components
 from spanway.llm.mixing import weigh
@@ -36,6 +37,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_components(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weigh(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_language_model": op4_language_model,
     "op5_mixing": op5_mixing,
     "op6_vector_search": op6_vector_search,
     "op7_token_files": op7_token_files,
