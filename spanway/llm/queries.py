@@ -16,6 +16,7 @@ from spanway.llm.pii import find_personal_data
 from spanway.llm.sharding import OP2_SQL, place_documents
 from spanway.llm.token_counts import count_tokens
 from spanway.llm.token_files import token_digest
+from spanway.llm.toxicity import score_documents
 from spanway.llm.winnowing import OP8_SQL, decontaminate
 
 
@@ -57,6 +58,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_vector_search": op6_vector_search,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
