@@ -142,7 +142,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     """(word, class, n) of the words of ``docs``."""
 
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=8 << 20):
             codes, names, _ = ascii_words(plain_text(batch))
             n = np.bincount(codes, minlength=len(names))
             yield pa.RecordBatch.from_arrays([pa.array(word_keys(names)), pa.array(word_classes(names).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "class", "n"])
@@ -151,7 +151,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return stored(words.filter("n > 0").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
 
 
-def _batches(batches, limit: int = 2 << 20):
+def _batches(batches, limit: int = 1 << 18):
     """Batches of stored symbols in slices of about ``limit`` tokens."""
     for batch in batches:
         if batch.num_rows:
@@ -192,7 +192,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def encode(batches):
         keys, counts, ranks, logs = local.value
-        for batch in text_slices(batches, limit=8 << 20):
+        for batch in text_slices(batches, limit=4 << 20):
             codes, names, offsets = ascii_words(plain_text(batch))
             docs_n, lens = batch.num_rows, np.diff(offsets)
             key, cls = word_keys(names), word_classes(names)
