@@ -62,8 +62,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 
 def plain_text(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column as large strings, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The text column as large strings, null as empty.
+
+    The result's data begins at offset 0: kernels such as ascii_lower misread a
+    slice that was cast, whose first offset isn't 0.
+    """
+    text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    if not len(text):
+        return pa.array([], pa.large_string())
+    _, places, data = text.buffers()
+    offsets = np.frombuffer(places, np.int64)[text.offset : text.offset + len(text) + 1]
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = data.slice(first, last - first) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.ascontiguousarray(offsets - first)), data)
 
 
 def ascii_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

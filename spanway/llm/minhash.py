@@ -8,12 +8,13 @@ bits, block by block: the bit count of the folded exclusive or is the number of
 unequal minima, and a similarity corrected for chance equality (1 in 16) follows.
 Pairs estimated near the threshold or above are confirmed on their full sets.
 
-Large buckets.  A bucket of n classes is cut into blocks of 512; every pair of blocks
-is a task's work of its own, so no bucket meets in one task.  Within a block pair,
-classes that are all but equal (estimate of 0.95 or more) are joined by a spanning
-tree, so a large group of copies gives n - 1 pairs and not n^2 / 2; pairs between
-different trees are all kept.  If a tree's edge should fail on the full sets, the pairs
-are made again without trees.  A pair is tried in the first band that it shares.
+Large buckets.  A bucket of n classes is cut into blocks of 256; every pair of blocks
+is a task's work of its own, so no bucket meets in one task.  The pairs that the bits
+leave go on as units of at most 2 x 128 classes: the unit's pairs are bytes of one
+row, and each class's set comes to the unit once.  There pairs are confirmed from the
+most similar down, those already connected in the unit being passed over, and only
+the links that connect go on: n - 1 for n copies and not n^2 / 2.  A pair is tried
+in the first band that it shares.  No pair is left out.
 
 A pair at the threshold 0.85 shares no band with a chance of 4e-7, and is estimated
 below the cut of 0.75 with one of 1e-5.
@@ -36,8 +37,8 @@ from spanway.llm.common import ascii_words, plain_text, ship, stored, text_slice
 from spanway.llm.components import components
 
 HASHES, BANDS, ROWS, BITS = 256, 20, 4, 4
-BLOCK = 512
-LIKELY, CUT = 0.95, 0.10
+BLOCK, UNIT = 256, 128
+CUT = 0.10
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -160,37 +161,28 @@ def _groups(batches, keys: list[str]):
         yield held_key, held
 
 
-def _compare(nodes, bits, bands, block, bi, bj, band, threshold, trees):
-    """Pairs of one block pair: (a, b, whether a tree's edge)."""
-    left = np.flatnonzero(block == bi)
-    right = np.flatnonzero(block == bj)
-    n, near, likely = len(nodes), np.zeros((len(nodes), len(nodes)), bool), np.zeros((len(nodes), len(nodes)), bool)
+def _compare(bits, bands, block, bi, bj, band, threshold):
+    """(left, right) rows of the near pairs of one block pair, the most similar first."""
+    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    a, b, similar = [], [], []
     for k in range(0, len(left), 64):
         rows = left[k : k + 64]
         est = estimate(unequal(bits[rows], bits[right]))
-        at = np.ix_(rows, right)
-        likely[at] = est >= trees
-        first = (bands[rows][:, None, :band] == bands[right][None, :, :band]).any(axis=2) if band else np.zeros(est.shape, bool)
-        near[at] = (est >= threshold - CUT) & ~first
-    likely |= likely.T
-    near |= near.T
-    tree, edges = np.full(n, -1), []
-    for s in range(n):
-        if tree[s] < 0:
-            tree[s], queue = s, [s]
-            while queue:
-                u = queue.pop()
-                new = np.flatnonzero(likely[u] & (tree < 0))
-                tree[new] = s
-                edges += [(u, v) for v in new.tolist()]
-                queue += new.tolist()
-    a, b = np.nonzero(np.triu(near & (tree[:, None] != tree[None, :]), 1))
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return np.concatenate([nodes[e[:, 0]], nodes[a]]), np.concatenate([nodes[e[:, 1]], nodes[b]]), np.repeat([True, False], [len(e), len(a)])
-
-
-def _candidates(classes: DataFrame, threshold: float, trees: float) -> DataFrame:
-    """(a, b, tree) of classes to be confirmed."""
+        near = est >= threshold - CUT
+        if bi == bj:
+            near &= rows[:, None] < right[None, :]
+        if band:
+            near &= ~(bands[rows][:, None, :band] == bands[right][None, :, :band]).any(axis=2)
+        i, j = np.nonzero(near)
+        a.append(rows[i])
+        b.append(right[j])
+        similar.append(est[i, j])
+    order = np.argsort(-np.concatenate(similar), kind="stable") if a else []
+    return (np.concatenate(a)[order], np.concatenate(b)[order]) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _units(classes: DataFrame, threshold: float) -> DataFrame:
+    """(unit, nodes, pairs): classes and the pairs of them (two bytes each, places in nodes) to be confirmed."""
     entries = _entries(classes)
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     # buckets of the same members are one: the first band's
@@ -209,11 +201,22 @@ def _candidates(classes: DataFrame, threshold: float, trees: float) -> DataFrame
             nodes = rows.column("node").to_numpy()
             bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(nodes), -1)
             bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), "<i4").reshape(len(nodes), -1)
-            a, b, tree = _compare(nodes, bits, bands, rows.column("block").to_numpy(), bi, bj, int(bucket) >> 32, threshold, trees)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(tree)], ["a", "b", "tree"])
-
-    return own.mapInArrow(run, "a long, b long, tree boolean").groupBy("a", "b").agg(F.max("tree").alias("tree"))
+            block = rows.column("block").to_numpy()
+            a, b = _compare(bits, bands, block, bi, bj, int(bucket) >> 32, threshold)
+            if not len(a):
+                continue
+            place = np.zeros(len(nodes), np.int64)
+            for k in {bi, bj}:
+                place[block == k] = np.arange((block == k).sum()) // UNIT
+            unit = place[a] << 32 | place[b]
+            for u in np.unique(unit).tolist():
+                mine = unit == u
+                own, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+                name = xxhash.xxh3_64_intdigest(np.array([bucket, bi, bj, u], "<i8").tobytes()) - 2**63
+                pairs = at.reshape(2, -1).T.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([nodes[own].tolist()], pa.list_(pa.int64())), pa.array([pairs.tobytes()])], ["unit", "nodes", "pairs"])
+
+    return stored(own.mapInArrow(run, "unit long, nodes array<long>, pairs binary"), "units")
 
 
 def _marks(keys: DataFrame, bits: int) -> np.ndarray:
@@ -226,10 +229,11 @@ def _marks(keys: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b, tree, linked) of the pairs, on the full sets of texts read anew."""
+def _links(docs: DataFrame, classes: DataFrame, units: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): linked pairs that connect all that is linked, on the full sets of texts read anew."""
     percent = round(threshold * 100)
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_hash", "d1", "d2"), "node"), "ends")
+    members = units.select("unit", F.posexplode("nodes").alias("place", "node"))
+    ends = stored(members.select("node").distinct().join(classes.select("node", "text_hash", "d1", "d2"), "node"), "ends")
     table = docs.sparkSession.sparkContext.broadcast(_marks(ends.select(F.col("text_hash").alias("h")), 23))
 
     def sets(batches):
@@ -243,33 +247,32 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in own), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([s.tobytes() for s in own], pa.binary())], ["text_hash", "d1", "d2", "own"])
 
-    # the bit table only saves shuffling; the join decides
+    # the bit table only saves shuffling; the join decides, and repeated rows leave one set
     read = docs.select(F.xxhash64("doc_id", "text").alias("text_hash"), "text").mapInArrow(sets, "text_hash long, d1 long, d2 long, own binary")
-    full = stored(read.join(ends, ["text_hash", "d1", "d2"]).select("node", "own"), "sets")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).cast("int").alias("parts"))
-    cut = stored(pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts"), "pairs")
-    heads = cut.select("a", "part").distinct().join(full.withColumnRenamed("node", "a"), "a")
-    heads = heads.select("a", "part", F.lit(None).cast("long").alias("b"), F.lit(False).alias("tree"), "own")
-    tails = cut.join(full.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "tree", "own")
-    rows = heads.union(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    full = stored(read.join(ends, ["text_hash", "d1", "d2"]).select("node", "own").dropDuplicates(["node"]), "sets")
+    sets_of = members.join(full, "node").select("unit", "place", "node", "own")
+    heads = units.select("unit", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("node"), F.col("pairs").alias("own"))
+    rows = heads.union(sets_of).repartition("unit").sortWithinPartitions("unit", "place")
 
     def run(batches):
-        head: np.ndarray = np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
-            for a, b, tree, own in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "tree", "own")), strict=True):
-                mine = np.frombuffer(own, np.uint64)
-                if b is None:
-                    head = mine
+        for _, parts in _groups(batches, ["unit"]):
+            table = pa.Table.from_batches(parts)
+            blobs, nodes = table.column("own").to_pylist(), table.column("node").to_pylist()[1:]
+            sets = [np.frombuffer(x, np.uint64) for x in blobs[1:]]
+            label, out = list(range(len(sets))), []
+            for i, j in np.frombuffer(blobs[0], np.uint8).reshape(-1, 2).tolist():
+                if label[i] == label[j]:
                     continue
-                place = np.searchsorted(head, mine)
-                both = int((head[np.minimum(place, len(head) - 1)] == mine).sum())
-                out.append((a, b, tree, 100 * both >= percent * (len(head) + len(mine) - both)))
+                one, two = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+                both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    out.append((nodes[i], nodes[j]))
+                    old, new = label[j], label[i]
+                    label = [new if x == old else x for x in label]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], ["a", "b", "tree", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    out = rows.select("a", "b", "tree", "own").mapInArrow(run, "a long, b long, tree boolean, linked boolean")
-    return stored(out.distinct(), "links")
+    return stored(rows.mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
@@ -281,12 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, size: int = 5) ->
     # the packed bits of equal sets are equal, so any row's will do
     first = full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(first.join(full.select(F.col("row").alias("node"), "text_hash", "bits", "bands"), "node"), "classes")
-    pairs = stored(_candidates(classes, threshold, LIKELY), "candidates")
-    links = _confirmed(docs, classes, pairs, threshold, size)
-    if not links.filter("tree and not linked").isEmpty():
-        pairs = stored(_candidates(classes, threshold, 2.0), "candidates")
-        links = _confirmed(docs, classes, pairs, threshold, size)
-    labels = components(links.filter("linked").select("a", "b"))
+    labels = components(_links(docs, classes, _units(classes, threshold), threshold, size))
     named = classes.select("node", "d1", "d2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     decided = stored(named.join(smallest, "label").select("d1", "d2", "component_id"), "decided")
