@@ -52,10 +52,12 @@ def chains(frame, enforce_m: bool = False) -> DataFrame:
     ends = frame.df.select(*frame.base_keys, RID, end(1).alias("_a"), end(-1).alias("_b"))
     schema = ends.select(*frame.base_keys, RID).schema.simpleString()[7:-1].replace(":", " ")
 
+    keys = frame.base_keys
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(RID, kind="stable")
         chain, place = order_lines([tuple(x) for x in pdf["_a"]], [tuple(x) for x in pdf["_b"]])
-        return pdf[[*frame.base_keys, RID]].assign(chain=chain, place=place)
+        return pdf[[*keys, RID]].assign(chain=chain, place=place)
 
     return ends.groupBy(*frame.base_keys).applyInPandas(run, f"{schema}, chain int, place int")
 
