@@ -38,7 +38,7 @@ WINDOW, STEP = 32, 24
 WORDS, GRAMS = 1 << 15, 1 << 17
 SIZES = (3, 5)
 SIDE, STATE, ATTEND = 4, 8, 8
-MOST, TRAIN_WINDOWS = 1500, 64
+MOST, TRAIN_WINDOWS = 1200, 64
 EPOCHS, RATE, FOLDS = 6, 0.01, 5
 THRESHOLD = 0.7
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`@"
@@ -213,13 +213,10 @@ def score_windows(net: Network, text: pa.Array, part: int = 4096) -> np.ndarray:
     return out
 
 
-def _log_odds(bucket: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """(size, 2): log odds of texts that have a bucket, shrunk; and how far they are beyond 2."""
-    pair = np.unique(doc.astype(np.int64) * size + bucket)
-    d, b = pair // size, pair % size
-    yes, no = np.bincount(b, label[d] == 1, minlength=size), np.bincount(b, label[d] == 0, minlength=size)
-    all_yes, all_no = len(np.unique(d[label[d] == 1])), len(np.unique(d[label[d] == 0]))
-    odds = np.log((yes + 0.5) / (all_yes + 1)) - np.log((no + 0.5) / (all_no + 1))
+def _log_odds(having: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """(size, 2): log odds by the numbers of texts (by label) that have a bucket, shrunk; and how far they are beyond 2."""
+    no, yes = having
+    odds = np.log((yes + 0.5) / (texts[1] + 1)) - np.log((no + 0.5) / (texts[0] + 1))
     odds = np.clip(odds, -2, 6) * (yes + no) / (yes + no + 4)
     return np.stack([odds / 4, np.maximum(odds - 2, 0)], axis=1).astype(np.float32)
 
@@ -254,20 +251,25 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     f = features(names)
     lengths, base = np.diff(offsets), offsets[:-1]
     fold = folds_of(codes, names, offsets)
-    # each text's distinct words, and their n-grams
-    once = np.unique(np.repeat(np.arange(len(texts)), lengths) * np.int64(max(len(names), 1)) + codes)
-    w_doc, w_code = once // max(len(names), 1), once % max(len(names), 1)
-    g_n = np.diff(f[2])[w_code]
-    grams, g_doc = f[1][flat_ranges(f[2][:-1][w_code], g_n)], np.repeat(w_doc, g_n)
+    # texts that have a word or n-gram, by fold and label
+    with_word, with_gram = np.zeros((FOLDS, 2, WORDS), np.int32), np.zeros((FOLDS, 2, GRAMS), np.int32)
+    n_texts = np.zeros((FOLDS, 2), np.int64)
+    for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        mine = np.unique(codes[first:last])
+        grams = f[1][flat_ranges(f[2][:-1][mine], np.diff(f[2])[mine])]
+        with_word[fold[i], label[i], np.unique(f[0][mine])] += 1
+        with_gram[fold[i], label[i], np.unique(grams)] += 1
+        n_texts[fold[i], label[i]] += 1
 
     def fitted(of: np.ndarray) -> np.ndarray:
-        """Count on the texts ``of``; the inputs of all words."""
-        net.words[:, :2] = _log_odds(f[0][w_code[of[w_doc]]], w_doc[of[w_doc]], label, WORDS)
-        net.grams[:, :2] = _log_odds(grams[of[g_doc]], g_doc[of[g_doc]], label, GRAMS)
+        """Embeddings from the folds ``of``; the inputs of all words."""
+        net.words[:, :2] = _log_odds(with_word[of].sum(axis=0), n_texts[of].sum(axis=0))
+        net.grams[:, :2] = _log_odds(with_gram[of].sum(axis=0), n_texts[of].sum(axis=0))
         return net.inputs(f)
 
-    x = np.concatenate([fitted(fold != k) for k in range(FOLDS)])
-    fitted(np.ones(len(texts), bool))
+    each = np.arange(FOLDS)
+    x = np.concatenate([fitted(each != k) for k in each])
+    fitted(each >= 0)
     own = codes + np.repeat(fold * len(names), lengths)
     doc, start = windows_of(lengths)
     # of a text's windows at most so many, evenly spread
@@ -279,13 +281,16 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs + 1):
-        tables = net.tables(x)
-        for k in range(0, len(doc), 4096):
-            at, live = _matrix(own, base, lengths, doc[k : k + 4096], start[k : k + 4096])
-            if epoch:
-                best[k : k + 4096] = net.logits(at, live, tables)
-            else:  # no network yet: the window of the greatest log odds
-                best[k : k + 4096] = np.where(live, x[at][:, :, 0] + x[at][:, :, SIDE], -9).max(axis=0)
+        for which in range(FOLDS):
+            part = x[which * len(names) : (which + 1) * len(names)] if names else np.zeros((1, 2 * SIDE), np.float32)
+            tables, theirs = net.tables(part), np.flatnonzero(fold[doc] == which)
+            for k in range(0, len(theirs), 4096):
+                some = theirs[k : k + 4096]
+                at, live = _matrix(codes, base, lengths, doc[some], start[some])
+                if epoch:
+                    best[some] = net.logits(at, live, tables)
+                else:  # no network yet: the window of the greatest log odds
+                    best[some] = np.where(live, part[at][:, :, 0] + part[at][:, :, SIDE], -9).max(axis=0)
         order = np.lexsort((-best, doc))
         first = order[np.append(True, np.diff(doc[order]) != 0)]
         if epoch == epochs:
