@@ -12,7 +12,7 @@ block: a shard of at most 4,096 rows and a block of at most 512 queries are one
 of work, so neither side is broadcast or gathered.
 
 Scores are whole numbers.  They are computed in float64 where no sum can reach 2^53,
-and in Python's integers else.
+and in Python's integers else; a score that 64 bits can't hold is the largest that they can.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part;
 the shorter of two vectors is padded with zeros; rows with the query's own id are no
@@ -32,6 +32,7 @@ from spanway.llm.common import ship, stored
 from spanway.llm.minhash import _groups
 
 SHARD, QUERIES = 4096, 512
+LARGEST = 2**63 - 1
 
 
 def top_rows(query: np.ndarray, terms: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def search_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np
         big = [[int(v) for v in row] for row in x]
         for i, query in enumerate(q):
             ints = [int(v) for v in query]
-            scored = sorted((-sum(a * b for a, b in zip(ints, row, strict=True)), int(d)) for row, d in zip(big, ids, strict=True) if d != own[i])[:k]
+            scored = sorted((-max(-LARGEST, min(LARGEST, sum(a * b for a, b in zip(ints, row, strict=True)))), int(d)) for row, d in zip(big, ids, strict=True) if d != own[i])[:k]
             out += [(i, d, -s) for s, d in scored]
         return out
     terms, low, high = np.ascontiguousarray(x.T), x.min(axis=0), x.max(axis=0)
