@@ -110,7 +110,8 @@ def ship(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
-    if root in paths or os.path.exists("spanway") or getattr(sc, "_spanway_shipped", False):
+    here = sc.master.startswith("local[") and os.path.exists("spanway")
+    if root in paths or here or getattr(sc, "_spanway_shipped", False):
         return
     import zipfile
 
