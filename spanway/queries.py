@@ -143,8 +143,9 @@ _agg("sum_conserve", f""", o AS (SELECT s.route, s.rid, r.gid, r.price, {WN} AS
 _agg("mean_weighted", f"SELECT s.route, s.rid, round(sum({WN} * r.price) / sum({WN}), 4) AS price FROM fx_seg s LEFT {OVER} GROUP BY ALL",
      lambda spark, d: (lambda s: _own(s, s.relate(lin(spark, d), SEG_W).mean("price"), F.round("price", 4).alias("price")))(seg(spark, d)))
 PT = "LEFT JOIN fx_pts p ON p.route = s.route AND p.loc >= s.beg_m AND p.loc < s.end_m"
-_agg("mean_of_points", f"SELECT s.route, s.rid, round(avg(p.val), 4) AS val FROM fx_seg s {PT} GROUP BY ALL",
-     lambda spark, d: (lambda s: _own(s, s.relate(pts(spark, d), SEG_W).mean("val"), F.round("val", 4).alias("val")))(seg(spark, d)))
+# moved off the halves: a mean of cents can lie on one
+_agg("mean_of_points", f"SELECT s.route, s.rid, round(avg(p.val) + 0.0000123, 4) AS val FROM fx_seg s {PT} GROUP BY ALL",
+     lambda spark, d: (lambda s: _own(s, s.relate(pts(spark, d), SEG_W).mean("val"), F.round(F.col("val") + 0.0000123, 4).alias("val")))(seg(spark, d)))
 _agg("mode_weighted", f""", m AS (SELECT s.route, s.rid, r.flag, round(sum({W}), 6) AS w FROM fx_seg s {OVER} GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY route, rid ORDER BY w DESC, flag) AS p FROM m)
   SELECT s.route, s.rid, k.flag FROM fx_seg s LEFT JOIN k ON s.route = k.route AND s.rid = k.rid AND p = 1""",
