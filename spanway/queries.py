@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanway.functions import lines as L
 from spanway.functions.direction import bearing, direction
+from spanway.operators import spatial
 from spanway.operators.integrate import constrain_to, integrate
 from spanway.sources.tables import LINEAR, chain, lin, lines, pts, read, seg
 
@@ -320,17 +321,53 @@ def _grid(spark: SparkSession, d: str):
 
 @query("""SELECT l.route AS l_rid, 1000000 + k AS r_rid, TRUE AS crosses FROM (SELECT DISTINCT route FROM fx_seg) l, range(1, 27) t(k)""")
 def intersections(spark, d):
-    from spanway.operators.spatial import intersection_pairs
-
-    return intersection_pairs(_grid(spark, d), size=200.0)
+    return spatial.intersection_pairs(_grid(spark, d), size=200.0)
 
 
 @query("""SELECT o.rid, o.route AS line_rid, round(o.loc, 6) AS loc FROM fx_pts o WHERE o.route IN (SELECT l_suppkey FROM lineitem) AND CAST(o.loc AS BIGINT) % 30 = 0""")
 def project_nearest(spark, d):
-    from spanway.operators.spatial import project
-
     p = pts(spark, d).df.filter(F.col("loc") % 30 == 0).join(lines(spark, d).df.select("route"), "route", "left_semi")
     p = p.select("rid", RID, F.col("loc").alias("x"), (F.col("route") + (F.col("loc") / 30).cast("long") % 3).cast("double").alias("y"), "route")
     # vertices of neighbouring axes can coincide; the point's own axis is asked for
-    out = project(p, "x", "y", lines(spark, d), buffer=5.0, nearest=False).filter((F.col("line_rid") == F.col("route")) & (F.col("distance") < 1e-9))
+    out = spatial.project(p, "x", "y", lines(spark, d), buffer=5.0, nearest=False).filter((F.col("line_rid") == F.col("route")) & (F.col("distance") < 1e-9))
     return out.select("rid", "line_rid", F.round("loc", 6).alias("loc"))
+
+
+def _pieces(spark: SparkSession, d: str):
+    """Each segment as a line of two vertices on its axis."""
+    s = seg(spark, d)
+    at = lambda c: F.struct(F.col(c).alias("x"), F.lit(0.0).alias("y"), F.col(c).alias("m"))
+    return s._with(s.df.withColumn("geom_m", F.array(at("beg_m"), at("end_m"))), s.lrs.set_params(geom_m_col="geom_m"))
+
+
+@query("SELECT route, rid, CAST(0 AS INTEGER) AS chain, CAST(rid AS INTEGER) AS place FROM fx_seg")
+def chains_of_lines(spark, d):
+    from spanway.operators.topology import chains
+
+    p = _pieces(spark, d)
+    return _own(p, chains(p).drop("route"), "chain", "place")
+
+
+@query("SELECT route, CAST(0 AS INTEGER) AS chain, 91 AS vertices, 2700.0::DOUBLE AS length FROM (SELECT DISTINCT route FROM fx_seg)")
+def merged_lines(spark, d):
+    from spanway.operators.topology import merge_lines
+
+    return merge_lines(_pieces(spark, d)).select("route", "chain", F.size("line").alias("vertices"), L.length(F.col("line")).alias("length"))
+
+
+@query('SELECT route, rid, beg_m AS "beg", end_m AS "end" FROM fx_seg')
+def generated_events(spark, d):
+    from spanway.operators.topology import generate_linear_events
+
+    return generate_linear_events(_pieces(spark, d)).df.select("route", "rid", "beg", "end")
+
+
+_RING = [(100.0, -10.0), (1000.0, -10.0), (1000.0, 10_000_000.0), (100.0, 10_000_000.0)]
+_agg("split_by_ring", "SELECT route, a::DOUBLE AS beg_m, b::DOUBLE AS end_m FROM (SELECT DISTINCT route FROM fx_seg), (VALUES (0.0, 100.0), (100.0, 1000.0), (1000.0, 2700.0)) v(a, b)",
+     lambda spark, d: spatial.split(lines(spark, d), _RING).df.select("route", "beg_m", "end_m"))
+_agg("clip_by_ring", "SELECT route, 100.0::DOUBLE AS beg_m, 1000.0::DOUBLE AS end_m FROM (SELECT DISTINCT route FROM fx_seg)",
+     lambda spark, d: spatial.clip(lines(spark, d), _RING).df.select("route", "beg_m", "end_m"))
+_agg("measures_by_length", "SELECT route, rid, beg_m AS m0, end_m AS m1, 30.0::DOUBLE AS length FROM fx_seg",
+     lambda spark, d: (lambda p: p._with(p.df.select("route", "rid", "beg_m", "end_m", RID, "geom_m"), p.lrs.set_params(geom_col="geom_m")).add_geom_m("g").df.select("route", "rid", L.first_m(F.col("g")).alias("m0"), L.last_m(F.col("g")).alias("m1"), L.length(F.col("g")).alias("length")))(_pieces(spark, d)))
+_agg("measured_text", "SELECT route, rid, beg_m AS m0, end_m AS m1 FROM fx_seg",
+     lambda spark, d: _pieces(spark, d).geom_m_to_wkt().parse_geom_m_wkt().extract_m_values("m0", "m1").df.select("route", "rid", "m0", "m1"))
