@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 LINE_M = "array<struct<x:double,y:double,m:double>>"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), the value being in the expression once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -34,7 +35,7 @@ def cumulative(line: Column) -> Column:
 
 
 def proportions(line: Column) -> Column:
-    return _let(length(line), lambda total: F.transform(chord_lengths(line), lambda x: F.try_divide(x, total)))
+    return let(length(line), lambda total: F.transform(chord_lengths(line), lambda x: F.try_divide(x, total)))
 
 
 def with_m(line: Column, beg: Column, end: Column | None = None) -> Column:
@@ -47,7 +48,7 @@ def with_m(line: Column, beg: Column, end: Column | None = None) -> Column:
         m = F.transform(run, lambda d, i: F.when(i == n - 1, stop).otherwise(beg + F.coalesce(F.try_divide(d, total), F.lit(0.0)) * (stop - beg)))
         return F.zip_with(line, m, lambda p, x: F.struct(p["x"].alias("x"), p["y"].alias("y"), x.alias("m")))
 
-    return _let(cumulative(line), body)
+    return let(cumulative(line), body)
 
 
 def first_m(line: Column) -> Column:
@@ -62,19 +63,29 @@ def is_monotonic(line: Column) -> Column:
     return F.forall(_legs(line), lambda s: s["a"]["m"] <= s["b"]["m"])
 
 
-def point_at_m(line: Column, m: Column) -> Column:
-    """struct<x,y,m> at a measure, clamped to the line; the first leg that reaches it counts."""
+def _bound(line: Column, *others: Column):
+    """let for a line and numbers: each is in the expression once, however often the body names it."""
+    names = [f"v{i}" for i in range(len(others))]
+    both = F.struct(line.alias("line"), *[o.cast("double").alias(n) for n, o in zip(names, others, strict=True)])
+    return lambda body: let(both, lambda v: body(v["line"], *[v[n] for n in names]))
+
 
+def _point_at_m(line: Column, m: Column) -> Column:
     def on(leg: Column) -> Column:
         span = leg["b"]["m"] - leg["a"]["m"]
         t = F.when(span == 0, 0.0).otherwise(F.least(F.greatest(F.try_divide(m - leg["a"]["m"], span), F.lit(0.0)), F.lit(1.0)))
         mix = lambda k: leg["a"][k] + t * (leg["b"][k] - leg["a"][k])
         return F.struct(mix("x").alias("x"), mix("y").alias("y"), F.least(F.greatest(m, first_m(line)), last_m(line)).alias("m"))
 
-    legs = _legs(line)
-    reached = F.filter(legs, lambda s: s["b"]["m"] >= m)
-    leg = F.coalesce(F.get(reached, F.lit(0)), F.try_element_at(legs, F.lit(-1)))
-    return F.when(m.isNotNull() & leg.isNotNull(), on(leg))
+    def pick(legs: Column) -> Column:
+        return F.coalesce(F.get(F.filter(legs, lambda s: s["b"]["m"] >= m), F.lit(0)), F.try_element_at(legs, F.lit(-1)))
+
+    return let(let(_legs(line), pick), lambda leg: F.when(m.isNotNull() & leg.isNotNull(), on(leg)))
+
+
+def point_at_m(line: Column, m: Column) -> Column:
+    """struct<x,y,m> at a measure, clamped to the line; the first leg that reaches it counts."""
+    return _bound(line, m)(_point_at_m)
 
 
 def m_to_distance(line: Column, m: Column, snap: bool = True) -> Column:
@@ -103,7 +114,7 @@ def distance_to_m(line: Column, distance: Column) -> Column:
         t = F.when(leg["e"] == leg["d"], 0.0).otherwise(F.least(F.greatest(F.try_divide(distance - leg["d"], leg["e"] - leg["d"]), F.lit(0.0)), F.lit(1.0)))
         return leg["a"] + t * (leg["b"] - leg["a"])
 
-    return _let(cumulative(line), body)
+    return let(cumulative(line), body)
 
 
 def point_at_distance(line: Column, distance: Column) -> Column:
@@ -117,14 +128,17 @@ def point_at_distance(line: Column, distance: Column) -> Column:
         mix = lambda k: leg["a"][k] + t * (leg["b"][k] - leg["a"][k])
         return F.struct(mix("x").alias("x"), mix("y").alias("y"), mix("m").alias("m"))
 
-    return _let(cumulative(line), body)
+    return let(cumulative(line), body)
 
 
 def cut(line: Column, beg: Column, end: Column) -> Column:
     """The part of the line between two measures, with interpolated ends; null where beg > end."""
-    low, high = F.greatest(beg, first_m(line)), F.least(end, last_m(line))
-    inner = F.filter(line, lambda p: (p["m"] > low) & (p["m"] < high))
-    return F.when(low <= high, F.concat(F.array(point_at_m(line, low)), inner, F.array(point_at_m(line, high))))
+
+    def part(g: Column, low: Column, high: Column) -> Column:
+        inner = F.filter(g, lambda p: (p["m"] > low) & (p["m"] < high))
+        return F.when(low <= high, F.concat(F.array(_point_at_m(g, low)), inner, F.array(_point_at_m(g, high))))
+
+    return _bound(line, beg, end)(lambda g, b, e: _bound(g, F.greatest(b, first_m(g)), F.least(e, last_m(g)))(part))
 
 
 def nearest(line: Column, x: Column, y: Column) -> Column:

@@ -24,8 +24,8 @@ class Relation:
     def __init__(self, left, right, columns: Sequence[str] | str | None = None, width: float | None = None):
         if left.keys != right.keys:
             raise CompatibilityError(f"keys differ: {left.keys} and {right.keys}")
-        types = [(dict(f.df.dtypes).get(k) for k in left.keys) for f in (left, right)]
-        if list(types[0]) != list(types[1]):
+        types = [[dict(f.df.select(*left.keys).dtypes)[k] for k in left.keys] for f in (left, right) if not f.missing_keys]
+        if len(types) == 2 and types[0] != types[1]:
             raise CompatibilityError(f"the keys' types differ in {left.keys}")
         self.left, self.right, self.width = left, right, width
         self.columns = [columns] if isinstance(columns, str) else list(columns or [])

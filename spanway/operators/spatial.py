@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,9 +134,8 @@ def clip(frame, ring: Sequence[tuple[float, float]], keep: str = "inside"):
         raise ValueError("keep is inside or outside")
     parts = split(frame, ring)
     mid = lines.point_at_m(F.col(frame.lrs.geom_m_col), (F.col(frame.lrs.beg_col) + F.col(frame.lrs.end_col)) / 2)
-    parts_df = parts.df.withColumn("_mid", mid)
-    inside = _inside(F.col("_mid.x"), F.col("_mid.y"), ring)
-    return parts._with(parts_df.filter(inside if keep == "inside" else ~inside).drop("_mid"))
+    inside = lines.let(mid, lambda p: _inside(p["x"], p["y"], ring))
+    return parts._with(parts.df.filter(inside if keep == "inside" else ~inside))
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray, step: float | None = None) -> float:
@@ -168,13 +167,16 @@ def parallel_project(lines_frame, target, buffer: float, max_distance: float | N
     both = both.select(RID, "line_rid", F.least("_m0", "_m1").alias("beg"), F.greatest("_m0", "_m1").alias("end"))
     both = both.join(lines_frame.df.select(RID, F.col(g).alias("_line")), RID).join(target.df.select(F.col(RID).alias("line_rid"), F.col(tg).alias("_target")), "line_rid")
     both = both.withColumn("_part", lines.cut(F.col("_target"), F.col("beg"), F.col("end"))).drop("_target")
-    flat = lambda c: F.transform(c, lambda p: F.array(p["x"], p["y"]))
+    kept = [RID, "line_rid", "beg", "end"]
 
-    @F.pandas_udf("double")
-    def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([hausdorff(np.stack([*p]).astype(float), np.stack([*q]).astype(float), step) for p, q in zip(a, b, strict=True)])
+    def far(batches):
+        xy = lambda line: np.array([(p["x"], p["y"]) for p in line], float)
+        for batch in batches:
+            lists = zip(batch.column("_line").to_pylist(), batch.column("_part").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([hausdorff(xy(p), xy(q), step) for p, q in lists], pa.float64())], [*kept, "distance"])
 
-    scored = both.withColumn("distance", far(flat(F.col("_line")), flat(F.col("_part")))).drop("_line", "_part")
+    schema = both.select(*kept).schema.add("distance", "double")
+    scored = both.select(*kept, "_line", "_part").mapInArrow(far, schema)
     if max_distance is not None:
         scored = scored.filter(F.col("distance") <= max_distance)
     if match:
