@@ -1,23 +1,28 @@
 """Near duplicates by b-bit MinHash.
 
 A text's set is its distinct shingles (64-bit hashes).  The minima of 256 hash
-functions give a signature: 20 bands of 4 whole minima choose candidates, and the
-low 4 bits of every (mixed) minimum are packed into 128 bytes.  Texts with equal sets
-are one class from the start.  Classes that share a band are compared by the packed
-bits, block by block: the bit count of the folded exclusive or is the number of
-unequal minima, and a similarity corrected for chance equality (1 in 16) follows.
-Pairs estimated near the threshold or above are confirmed on their full sets.
-
-Large buckets.  A bucket of n classes is cut into blocks of 256; every pair of blocks
-is a task's work of its own, so no bucket meets in one task.  The pairs that the bits
-leave go on as units of at most 2 x 128 classes: the unit's pairs are bytes of one
-row, and each class's set comes to the unit once.  There pairs are confirmed from the
-most similar down, those already connected in the unit being passed over, and only
-the links that connect go on: n - 1 for n copies and not n^2 / 2.  A pair is tried
-in the first band that it shares.  No pair is left out.
-
-A pair at the threshold 0.85 shares no band with a chance of 4e-7, and is estimated
-below the cut of 0.75 with one of 1e-5.
+functions give a signature: bands of 4 whole minima choose candidates, and the low 4
+bits of every (mixed) minimum are packed into 128 bytes.  Texts with equal sets are
+one class from the start.  Classes that share a band are compared by the packed bits,
+block by block: the bit count of the folded exclusive or is the number of unequal
+minima, and a similarity corrected for chance equality (1 in 16) follows.  Pairs
+estimated near the threshold or above are confirmed on their full sets.
+
+Large buckets.  A bucket of n classes is cut into blocks of 256.  First each block is
+compared with itself and with about 32 pivots of the bucket, which is work in
+proportion to n; the links found there join almost all of a group of copies.  Only
+classes of a bucket that then lie in different components are compared further: all
+that aren't in the bucket's largest component with all the others, a pair of blocks
+being a task's work of its own, so no bucket meets in one task and no pair is left
+out.  The pairs that the bits leave go on as units of at most 2 x 128 classes: the
+unit's pairs are bytes of one row, and each class's set comes to the unit once.  There
+pairs are confirmed from the most similar down, those already connected in the unit
+being passed over, and only the links that connect go on: n - 1 for n copies and not
+n^2 / 2.  A pair is tried in the first band that it shares.
+
+As many bands are taken as let a pair at the threshold share none with a chance below
+4e-7: 20 for 0.85, 28 for 0.8.  Such a pair is estimated below the cut (0.1 under the
+threshold) with a chance of 1e-5.
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts of
 fewer than five words are one shingle; repeated rows are answered one by one and are
@@ -27,6 +32,8 @@ texts; a null id stays null; an empty table gives no rows; other columns aren't
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,9 +43,9 @@ from pyspark.sql import functions as F
 from spanway.llm.common import ascii_words, plain_text, ship, stored, text_slices
 from spanway.llm.components import components
 
-HASHES, BANDS, ROWS, BITS = 256, 20, 4, 4
-BLOCK, UNIT = 256, 128
-CUT = 0.10
+HASHES, ROWS, BITS = 256, 4, 4
+BLOCK, UNIT, PIVOTS = 256, 128, 32
+CUT, MISS = 0.10, 4e-7
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -73,7 +80,14 @@ def shingles(text: pa.Array, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def sketch(own: np.ndarray) -> tuple[bytes, bytes]:
+def bands_for(threshold: float) -> int:
+    """How many bands let a pair at the threshold share none with a chance below ``MISS``."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie in (0, 1]")
+    return min(HASHES // ROWS, max(1, math.ceil(math.log(MISS) / math.log1p(-min(threshold, 0.999) ** ROWS))))
+
+
+def sketch(own: np.ndarray, bands: int) -> tuple[bytes, bytes]:
     """(packed low bits of the minima, keys of the bands) of a set."""
     x = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -82,8 +96,8 @@ def sketch(own: np.ndarray) -> tuple[bytes, bytes]:
     wide = _mix(least.astype(np.uint64))
     low = (wide & np.uint64(15)).reshape(-1, 16)
     packed = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=1)
-    keys = wide[: BANDS * ROWS].reshape(BANDS, ROWS)
-    band = np.zeros(BANDS, np.uint64)
+    keys = wide[: bands * ROWS].reshape(bands, ROWS)
+    band = np.zeros(bands, np.uint64)
     for j in range(ROWS):
         band = _mix(band + keys[:, j] + np.uint64(j))
     return packed.tobytes(), (band & np.uint64(0x7FFFFFFF)).astype("<i4").tobytes()
@@ -102,11 +116,11 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return (1 - differing / HASHES - chance) / (1 - chance)
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
+def _sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
     def run(batches):
         for batch in text_slices(batches):
             sets = shingles(plain_text(batch), size)
-            made = [sketch(s) if len(s) else (None, None) for s in sets]
+            made = [sketch(s, bands) if len(s) else (None, None) for s in sets]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -126,14 +140,14 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return stored(own.mapInArrow(run, SKETCH), "sketches")
 
 
-def _entries(classes: DataFrame) -> DataFrame:
+def _entries(classes: DataFrame, bands: int) -> DataFrame:
     """(bucket, node): the number of a bucket is its band's number and key."""
 
     def run(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i4").reshape(-1, BANDS).astype(np.int64)
-            buckets = keys + (np.arange(BANDS, dtype=np.int64) << 32)
-            nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i4").reshape(-1, bands).astype(np.int64)
+            buckets = keys + (np.arange(bands, dtype=np.int64) << 32)
+            nodes = np.repeat(batch.column("node").to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), pa.array(nodes)], ["bucket", "node"])
 
     return classes.select("node", "bands").mapInArrow(run, "bucket long, node long")
@@ -161,16 +175,16 @@ def _groups(batches, keys: list[str]):
         yield held_key, held
 
 
-def _compare(bits, bands, block, bi, bj, band, threshold):
-    """(left, right) rows of the near pairs of one block pair, the most similar first."""
-    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+def _compare(bits, bands, side, label, band, threshold):
+    """(left, right) rows of the near pairs of one piece of work, the most similar first."""
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     a, b, similar = [], [], []
     for k in range(0, len(left), 64):
         rows = left[k : k + 64]
         est = estimate(unequal(bits[rows], bits[right]))
-        near = est >= threshold - CUT
-        if bi == bj:
-            near &= rows[:, None] < right[None, :]
+        near = (est >= threshold - CUT) & (label[rows][:, None] != label[right][None, :])
+        # rows of both sides are met once
+        near &= (rows[:, None] < right[None, :]) | (side[rows][:, None] != side[right][None, :])
         if band:
             near &= ~(bands[rows][:, None, :band] == bands[right][None, :, :band]).any(axis=2)
         i, j = np.nonzero(near)
@@ -181,34 +195,56 @@ def _compare(bits, bands, block, bi, bj, band, threshold):
     return (np.concatenate(a)[order], np.concatenate(b)[order]) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _units(classes: DataFrame, threshold: float) -> DataFrame:
-    """(unit, nodes, pairs): classes and the pairs of them (two bytes each, places in nodes) to be confirmed."""
-    entries = _entries(classes)
+def _buckets(entries: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets of several classes; of those with the same members the first band's."""
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
-    # buckets of the same members are one: the first band's
-    sizes = sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = entries.join(sizes, "bucket").withColumn("blocks", blocks)
+    return stored(sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+
+
+def _first_work(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bucket, bi, bj, node, side, label): every block with itself, and with the bucket's pivots.
+
+    ``side`` has bit 1 for rows of the left and bit 2 for rows of the right side."""
+    own = entries.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = own.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("bucket", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    own = own.join(classes.select("node", "bits", "bands"), "node")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("bucket", "node", F.lit(1)), F.ceil(F.col("n") / PIVOTS)) == 0)
+    own = own.withColumn("bi", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    return own.select("bucket", "bi", F.col("bi").alias("bj"), "node", F.when(F.col("bi") == F.col("block"), 3).otherwise(1).alias("side"), F.col("node").alias("label"))
+
+
+def _second_work(entries: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for what is left of the ``large`` buckets: the classes that aren't in the
+    bucket's largest component, with each other and with the rest."""
+    own = entries.join(large.select("bucket"), "bucket").join(labels, "node", "left")
+    own = stored(own.select("bucket", "node", F.coalesce("label", "node").alias("label")), "large")
+    parts = own.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"))
+    parts = parts.select("bucket", F.col("most.label").alias("major"), F.ceil((F.col("n") - F.col("most.k")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most.k") / BLOCK).cast("int").alias("many"))
+    own = own.join(parts.filter("few > 0"), "bucket")
+    spot, minor = F.xxhash64("node", "bucket"), F.col("label") != F.col("major")
+    own = own.withColumn("block", F.when(minor, F.pmod(spot, F.col("few"))).otherwise(F.col("few") + F.pmod(spot, F.col("many"))).cast("int"))
+    last = F.when(minor, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    side = F.when(F.col("other") == F.col("block"), 3).when(F.col("other") > F.col("block"), 1).otherwise(2)
+    return own.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", side.alias("side"), "label")
+
+
+def _units(work: DataFrame, classes: DataFrame, bands: int, threshold: float) -> DataFrame:
+    """(unit, nodes, pairs): classes and the pairs of them (two bytes each, places in nodes) to be confirmed."""
+    own = work.join(classes.select("node", "bits", "bands"), "node")
     own = own.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
 
     def run(batches):
         for (bucket, bi, bj), parts in _groups(batches, ["bucket", "bi", "bj"]):
             rows = pa.Table.from_batches(parts)
-            nodes = rows.column("node").to_numpy()
+            nodes, side, label = (rows.column(c).to_numpy() for c in ("node", "side", "label"))
             bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(nodes), -1)
-            bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), "<i4").reshape(len(nodes), -1)
-            block = rows.column("block").to_numpy()
-            a, b = _compare(bits, bands, block, bi, bj, int(bucket) >> 32, threshold)
+            keys = np.frombuffer(b"".join(rows.column("bands").to_pylist()), "<i4").reshape(-1, bands)
+            a, b = _compare(bits, keys, side, label, int(bucket) >> 32, threshold)
             if not len(a):
                 continue
-            place = np.zeros(len(nodes), np.int64)
-            for k in {bi, bj}:
-                place[block == k] = np.arange((block == k).sum()) // UNIT
-            unit = place[a] << 32 | place[b]
+            place = lambda bit: (np.cumsum(side & bit > 0) - 1) // UNIT  # noqa: B023, E731
+            unit = place(1)[a] << 32 | place(2)[b]
             for u in np.unique(unit).tolist():
                 mine = unit == u
                 own, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
@@ -275,16 +311,25 @@ def _links(docs: DataFrame, classes: DataFrame, units: DataFrame, threshold: flo
     return stored(rows.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept for each row of ``docs``; ``row``
     is the row's monotonically_increasing_id()."""
     ship(docs.sparkSession)
-    rows = _sketches(docs, size)
+    bands = bands_for(threshold)
+    rows = _sketches(docs, size, bands)
     full = rows.filter("n_shingles > 0")
     # the packed bits of equal sets are equal, so any row's will do
     first = full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(first.join(full.select(F.col("row").alias("node"), "text_hash", "bits", "bands"), "node"), "classes")
-    labels = components(_links(docs, classes, _units(classes, threshold), threshold, size))
+    entries = _entries(classes, bands)
+    sizes = _buckets(entries)
+    links = _links(docs, classes, _units(_first_work(entries, sizes), classes, bands, threshold), threshold, size)
+    labels = components(links)
+    large = sizes.filter(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        left = _units(_second_work(entries, large, labels), classes, bands, threshold)
+        if not left.isEmpty():
+            labels = components(links.union(_links(docs, classes, left, threshold, size)))
     named = classes.select("node", "d1", "d2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     decided = stored(named.join(smallest, "label").select("d1", "d2", "component_id"), "decided")
@@ -298,7 +343,7 @@ def document_components(docs: DataFrame, threshold: float = 0.85, size: int = 5)
     return near_duplicates(docs, threshold, size).drop("row")
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of ``docs``, of each group of near duplicates one: the smallest id's
     (of repeated rows the first).  Empty texts all stay.  ``docs`` is read several
     times and must give its rows in the same order, as a table does."""

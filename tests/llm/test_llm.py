@@ -110,7 +110,7 @@ def test_sharding(spark, texts):
         sharding.fill(["a"], 10)
 
 
-def plain_components(rows):
+def plain_components(rows, percent=85):
     sets = []
     for _, t in rows:
         w = words(t)
@@ -118,7 +118,7 @@ def plain_components(rows):
     label = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
         both = len(sets[i] & sets[j])
-        if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+        if both and 100 * both >= percent * len(sets[i] | sets[j]):
             old, new = label[j], label[i]
             label = [new if x == old else x for x in label]
     least = {}
@@ -142,18 +142,38 @@ def test_near_duplicates(spark, texts):
     assert got == plain_components(rows)
     kept = minhash.one_of_each(frame(spark, rows))
     ids = collections.Counter(r.doc_id for r in kept.collect())
-    want = {x[0] for x in plain_components(rows) if x[3]}
+    want = {x[0] for x in plain_components(rows, 80) if x[3]}
     assert set(ids) == want and ids[3] == 1 and kept.columns == frame(spark, rows).columns
     assert minhash.document_components(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_large_buckets(spark, monkeypatch):
+    """Small blocks and few pivots, so that groups go through both passes."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    rng = np.random.default_rng(4)
+    rows, i = [], 0
+    for group in range(3):
+        own = [f"g{group}w{k}" for k in rng.integers(0, 400, 150)]
+        for _ in range(70):  # each a few words from the one before: chains of links
+            own = list(own)
+            own[rng.integers(0, 150)] = f"x{i}"
+            rows.append((i, " ".join(own)))
+            i += 1
+    order = rng.permutation(len(rows)).tolist()
+    docs = [(k, rows[at][1]) for k, at in enumerate(order)]
+    got = sorted(map(tuple, minhash.document_components(frame(spark, docs)).collect()))
+    assert got == plain_components(docs)
+    assert [minhash.bands_for(t) for t in (0.8, 0.85, 1.0)] == [28, 20, 3]
+
+
 def test_bit_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
     for share in (0.3, 0.7, 0.9):
         k = int(len(a) * 2 * share / (1 + share))
         b = np.unique(np.concatenate([a[:k], rng.integers(0, 2**63, len(a) - k).astype(np.uint64)]))
-        x, y = (np.frombuffer(minhash.sketch(s)[0], "<u8").reshape(1, -1) for s in (a, b))
+        x, y = (np.frombuffer(minhash.sketch(s, 20)[0], "<u8").reshape(1, -1) for s in (a, b))
         assert abs(minhash.estimate(minhash.unequal(x, y))[0, 0] - share) < 0.12
 
 
@@ -342,6 +362,6 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == [*docs.columns, "slot", "shard"] and 0 < out.count() < docs.count()
-    assert minhash.document_components(out.drop("slot", "shard")).filter("not kept").count() == 0
+    assert minhash.document_components(out.drop("slot", "shard"), 0.8).filter("not kept").count() == 0
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert winnowing.decontaminate(out, bench).filter("contaminated").count() == 0
