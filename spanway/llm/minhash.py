@@ -46,6 +46,7 @@ from spanway.llm.components import components
 HASHES, ROWS, BITS = 256, 4, 4
 BLOCK, UNIT, PIVOTS = 256, 128, 32
 CUT, MISS = 0.10, 4e-7
+SLICE = 4 << 20  # bytes of text that a worker cuts into shingles at a time
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -118,7 +119,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             sets = shingles(plain_text(batch), size)
             made = [sketch(s, bands) if len(s) else (None, None) for s in sets]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
@@ -278,7 +279,7 @@ def _links(docs: DataFrame, classes: DataFrame, units: DataFrame, threshold: flo
             h = batch.column("text_hash").to_numpy().view(np.uint64)
             spot = h & np.uint64((1 << 23) - 1)
             wanted = (marks[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)
-            for part in text_slices(iter([batch.filter(pa.array(wanted.astype(bool)))])):
+            for part in text_slices(iter([batch.filter(pa.array(wanted.astype(bool)))]), limit=SLICE):
                 own = shingles(plain_text(part), size)
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in own), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([s.tobytes() for s in own], pa.binary())], ["text_hash", "d1", "d2", "own"])
