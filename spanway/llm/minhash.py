@@ -117,7 +117,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return (1 - differing / HASHES - chance) / (1 - chance)
 
 
-def _sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
+def _sketches(docs: DataFrame, size: int, bands: int, row: str | None = None) -> DataFrame:
     def run(batches):
         for batch in text_slices(batches, limit=SLICE):
             sets = shingles(plain_text(batch), size)
@@ -137,7 +137,8 @@ def _sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
                 ["row", "doc_id", "text_hash", "n_shingles", "d1", "d2", "bits", "bands"],
             )
 
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), "text")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    own = docs.select(number.alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), "text")
     return stored(own.mapInArrow(run, SKETCH), "sketches")
 
 
@@ -312,12 +313,14 @@ def _links(docs: DataFrame, classes: DataFrame, units: DataFrame, threshold: flo
     return stored(rows.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept for each row of ``docs``; ``row``
-    is the row's monotonically_increasing_id()."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, row: str | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, label, kept for each row of ``docs``; ``row``
+    is the column of that name or else the row's monotonically_increasing_id().  A label
+    is a row of the component and tells it from all others, which the component_id, its
+    least doc_id, doesn't: ids can be null or repeated."""
     ship(docs.sparkSession)
     bands = bands_for(threshold)
-    rows = _sketches(docs, size, bands)
+    rows = _sketches(docs, size, bands, row)
     full = rows.filter("n_shingles > 0")
     # the packed bits of equal sets are equal, so any row's will do
     first = full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
@@ -333,22 +336,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
             labels = components(links.union(_links(docs, classes, left, threshold, size)))
     named = classes.select("node", "d1", "d2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    decided = stored(named.join(smallest, "label").select("d1", "d2", "component_id"), "decided")
-    out = full.join(decided, ["d1", "d2"]).select("row", "doc_id", "n_shingles", "component_id")
-    empty = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    decided = stored(named.join(smallest, "label").select("d1", "d2", "component_id", "label"), "decided")
+    out = full.join(decided, ["d1", "d2"]).select("row", "doc_id", "n_shingles", "component_id", "label")
+    empty = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("label"))
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def document_components(docs: DataFrame, threshold: float = 0.85, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(docs, threshold, size).drop("row")
+    return near_duplicates(docs, threshold, size).drop("row", "label")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of ``docs``, of each group of near duplicates one: the smallest id's
-    (of repeated rows the first).  Empty texts all stay.  ``docs`` is read several
-    times and must give its rows in the same order, as a table does."""
-    found = near_duplicates(docs, threshold, size)
-    keep = found.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("_row")).select("_row")
-    keep = keep.union(found.filter("n_shingles = 0").select("row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, "_row", "left_semi").drop("_row")
+    (of repeated rows and of rows without an id the first).  Empty texts all stay.
+    ``docs`` is stored once with its rows' numbers, so no later read can number them anew."""
+    own = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(own, threshold, size, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = found.groupBy("label").agg(first.alias("m")).select(F.col("m.row").alias("_row"))
+    return own.join(keep, "_row", "left_semi").drop("_row")

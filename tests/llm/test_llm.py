@@ -147,6 +147,15 @@ def test_near_duplicates(spark, texts):
     assert minhash.document_components(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_null_and_equal_ids(spark):
+    """Groups are told apart by their texts, not by ids that are null or repeated."""
+    text = lambda name, last="end": " ".join([*(f"{name}{k}" for k in range(40)), last])
+    rows = [(None, text("p")), (None, text("q")), (None, text("p", "close")), (7, text("a")), (7, text("b")), (9, text("b", "close")), (None, text("c")), (8, text("c", "close")), (7, text("a")), (None, ""), (None, None), (7, "")]
+    want = [(None, text("p")), (None, text("q")), (7, text("a")), (7, text("b")), (8, text("c", "close")), (None, ""), (None, None), (7, "")]
+    got = [(r.doc_id, r.text) for r in minhash.one_of_each(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_near_duplicates_large_buckets(spark, monkeypatch):
     """Small blocks and few pivots, so that groups go through both passes."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
