@@ -333,6 +333,20 @@ def project_nearest(spark, d):
     return out.select("rid", "line_rid", F.round("loc", 6).alias("loc"))
 
 
+@query(""", p AS (SELECT rid, loc AS x, CAST(route + (rid % 33) * 0.5::DOUBLE - 8 AS DOUBLE) AS y FROM fx_pts),
+  k AS (SELECT p.*, CAST(floor(y) AS BIGINT) + a AS line, CAST(floor(x / 30.0::DOUBLE) AS BIGINT) + b AS i FROM p, range(-8, 9) u(a), range(-1, 2) w(b)),
+  s AS (SELECT k.*, CAST(30 * i AS DOUBLE) AS ax, CAST(line + i % 3 AS DOUBLE) AS ay, CAST((i + 1) % 3 - i % 3 AS DOUBLE) AS dy FROM k SEMI JOIN lineitem ON l_suppkey = line WHERE i BETWEEN 0 AND 89),
+  t AS (SELECT *, least(greatest(((x - ax) * 30.0::DOUBLE + (y - ay) * dy) / (900.0::DOUBLE + dy * dy), 0.0::DOUBLE), 1.0::DOUBLE) AS t FROM s),
+  q AS (SELECT *, ax + t * 30.0::DOUBLE AS px, ay + t * dy AS py FROM t), n AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS far FROM q),
+  m AS (SELECT rid, arg_min({'line': line, 'loc': px, 'far': far}, (far, line, i)) AS m FROM n WHERE far <= 5 GROUP BY rid)
+  SELECT p.rid, m.m.line AS line_rid, round(m.m.loc, 6) AS loc, round(m.m.far, 6) AS distance FROM p LEFT JOIN m ON m.rid = p.rid""")
+def project_nearest_line(spark, d):
+    """All points, up to 8 beside their axis, on the nearest line within 5."""
+    p = pts(spark, d).df.select("rid", RID, F.col("loc").alias("x"), (F.col("route") + (F.col("rid") % 33) * 0.5 - 8).alias("y"))
+    out = spatial.project(p, "x", "y", lines(spark, d), buffer=5.0)
+    return out.select("rid", "line_rid", F.round("loc", 6).alias("loc"), F.round("distance", 6).alias("distance"))
+
+
 def _pieces(spark: SparkSession, d: str):
     """Each segment as a line of two vertices on its axis."""
     s = seg(spark, d)

@@ -269,6 +269,45 @@ def test_split_clip_project(spark):
     assert hausdorff(np.array([[0, 0], [1, 0]]), np.array([[0, 2], [1, 2]]), 0.1) == 2
 
 
+def test_project_nearest_brute_force(spark):
+    """Points inside segments, at distances, tied, on shared ends and without a line in the buffer."""
+    shapes = [[(0, 0, 0), (30, 1, 30), (60, -2, 60)], [(0, 4, 0), (60, 4, 60)], [(60, -2, 5), (90, -2, 35)], [(0, -4, 0), (60, -4, 60)], [(70, 9, 0), (70, 9, 1)]]
+    f = geometry(spark, [("A", g) for g in shapes])
+    spots = [(x * 3.5 - 8, y * 0.75 - 12) for x in range(30) for y in range(34)] + [(60.0, -2.0), (40.0, 0.0), (70.0, 9.0), (65.0, 13.0)]
+
+    def nearest(x, y):
+        found = []
+        for k, g in enumerate(shapes):
+            for i, ((ax, ay, am), (bx, by, bm)) in enumerate(zip(g, g[1:], strict=False)):
+                w = (bx - ax) ** 2 + (by - ay) ** 2
+                t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / w, 0.0), 1.0) if w else 0.0
+                found.append((math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)), k, i, am + t * (bm - am)))
+        return min(found) if min(found)[0] <= 5 else (None, None, None, None)
+
+    p = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(spots)], "_rid long, x double, y double")
+    rows = project(p, "x", "y", f, buffer=5.0).collect()
+    assert len(rows) == len(spots) and {r.line_rid for r in rows} == {None, 0, 1, 2, 3, 4}
+    for r in rows:
+        far, line_rid, _, loc = nearest(*spots[r._rid])
+        assert r.line_rid == line_rid and (r.distance, r.loc) == (pytest.approx(far), pytest.approx(loc))
+
+
+def test_project_nearest_line_query(spark):
+    """The whole table, against its SQL."""
+    import duckdb
+
+    from spanway.queries import ORACLE, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "supplier", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    want = sorted(con.execute(ORACLE["project_nearest_line"]).fetchall(), key=lambda r: r[0])
+    got = sorted(map(tuple, QUERIES["project_nearest_line"](spark, d).collect()), key=lambda r: r[0])
+    assert len(got) == len(want) == spark.read.parquet(f"{d}/orders.parquet").count() and got == want
+    assert any(r[1] is None for r in got) and any(r[3] and r[3] > 0.1 for r in got)
+
+
 def test_topology(spark):
     f = geometry(spark, [("A", [(1, 0, 1), (2, 0, 2)]), ("A", [(0, 0, 0), (1, 0, 1)]), ("B", [(0, 0, 0), (1, 0, 1)]), ("B", [(5, 0, 5), (6, 0, 6)])])
     chained = add_chaining(f)
