@@ -309,13 +309,14 @@ query(f""", r AS (SELECT route, 15.0 * k AS beg_m, 15.0 * (k + 1) AS end_m FROM
 # planar joins
 
 def _grid(spark: SparkSession, d: str):
-    """The axes' lines and as many upright ones, one for each 100 along the axis."""
+    """The axes' lines and upright ones across all of them, one for each 100 along the axis."""
     from spanway.frame import EventFrame
     from spanway.lrs import LRS
 
     flat = lines(spark, d).df.select(F.col("route").alias("_rid"), F.lit("flat").alias("route"), F.col("geom_m").alias("geom_m"))
     n = 26
-    up = spark.range(1, n + 1).select((F.col("id") + 1_000_000).alias("_rid"), F.lit("up").alias("route"), F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct((F.col("id") * 100.0 + 5).alias("x"), (i * 20000.0 - 5000).alias("y"), (i * 1.0).alias("m"))).alias("geom_m"))
+    reach = flat.agg(F.min("_rid").alias("low"), F.max("_rid").alias("high"))
+    up = spark.range(1, n + 1).crossJoin(reach).select((F.col("id") + 1_000_000).alias("_rid"), F.lit("up").alias("route"), F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct((F.col("id") * 100.0 + 5).alias("x"), F.when(i == 0, F.col("low") - 5000.0).otherwise(F.col("high") + 5000.0).alias("y"), (i * 1.0).alias("m"))).alias("geom_m"))
     return EventFrame(flat.union(up), LRS(key_col=("route",), geom_m_col="geom_m"))
 
 

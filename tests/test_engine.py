@@ -250,6 +250,16 @@ def test_intersections(spark):
     assert sorted((r.x, r.y, r.rids) for r in intersection_nodes(f).collect()) == [(5.0, 0.0, [0, 2]), (15.0, 0.0, [1, 3])]
 
 
+def test_intersections_of_great_routes(spark, tmp_path):
+    """Upright lines reach every axis, however great its route."""
+    from spanway.queries import QUERIES
+
+    routes = [0, 7, 14_999, 15_001, 40_000, 300_000]
+    spark.createDataFrame([(r,) for r in routes], "l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, QUERIES["intersections"](spark, str(tmp_path)).collect()))
+    assert got == sorted((r, 1_000_000 + k, True) for r in routes for k in range(1, 27))
+
+
 def test_split_clip_project(spark):
     f = geometry(spark, [("A", [(0, 0, 0), (5, 0, 5)]), ("A", [(5, 0, 5), (10, 0, 10)]), ("A", [(10, 0, 10), (15, 0, 15)])])
     f = f.extract_m_values("b", "e")
