@@ -8,8 +8,8 @@ overlapping windows of the whole text are scored (a new one every 24 words) and
 highest decides.
 
 Training is numpy on the driver, from a sample of labelled rows whose bound is
-``MOST`` rows of either label (chosen by a hash of the id), and at most 64 windows of
-each, evenly spread.  Embeddings are fitted by counting: their first places hold the
+``MOST`` rows of either label (chosen by a hash of the id), and all windows of each are
+read.  Embeddings are fitted by counting: their first places hold the
 log odds of the word or n-gram in the sample, shrunk where few texts have it, the
 others are random.  The network is fitted by back propagation, a text being read with
 the odds of the other folds of the sample, in which neither it nor (as folds go by
@@ -38,7 +38,7 @@ WINDOW, STEP = 32, 24
 WORDS, GRAMS = 1 << 15, 1 << 17
 SIZES = (3, 5)
 SIDE, STATE, ATTEND = 4, 8, 8
-MOST, TRAIN_WINDOWS = 1200, 64
+MOST = 1200
 EPOCHS, RATE, FOLDS = 6, 0.01, 5
 THRESHOLD = 0.7
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`@"
@@ -272,11 +272,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     fitted(each >= 0)
     own = codes + np.repeat(fold * len(names), lengths)
     doc, start = windows_of(lengths)
-    # of a text's windows at most so many, evenly spread
-    n = np.bincount(doc, minlength=len(texts))
-    rank = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-    stride = np.maximum(-(-n // TRAIN_WINDOWS), 1)[doc]
-    doc, start = doc[rank % stride == 0], start[rank % stride == 0]
     best = np.zeros(len(doc), np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0

@@ -128,6 +128,23 @@ def plain_components(rows, percent=85):
     return sorted((i, len(s), least.get(x), i == least.get(x)) for (i, _), s, x in zip(rows, sets, label, strict=True) if i is not None)
 
 
+def test_toxicity_trains_on_all_windows(monkeypatch):
+    """No window of a long text is left out when its highest is picked."""
+    texts = [" ".join(f"w{k % 97}" for k in range(n)) for n in (3_200, 40, 6_000, 10)]
+    texts[0] = texts[0].replace("w40 ", "foul ", 1)
+    seen, real = collections.Counter(), toxicity._matrix
+
+    def matrix(codes, base, lengths, doc, start):
+        seen.update(zip(doc.tolist(), start.tolist(), strict=True))
+        return real(codes, base, lengths, doc, start)
+
+    monkeypatch.setattr(toxicity, "_matrix", matrix)
+    assert toxicity.train(texts, [1, 0, 0, 0], epochs=1) is not None
+    doc, start = toxicity.windows_of(np.array([len(t.split()) for t in texts]))
+    # once to pick and once for the bias
+    assert all(seen[w] >= 2 for w in zip(doc.tolist(), start.tolist(), strict=True))
+
+
 def test_near_duplicates(spark, texts):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 500, 120)]
