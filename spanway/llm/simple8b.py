@@ -17,19 +17,35 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 BLOCK = 256
+PART = 256  # blocks that are coded at a time
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, number of each block's first word, and of all words at the end)."""
-    values = np.asarray(values, np.uint64)
-    n = len(values)
-    if not n:
+    values = np.ascontiguousarray(values, np.uint64)
+    if not len(values):
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
-    # how wide every run of 1, 2, 4 ... 32 values is, a block's end being the end of its runs
+    # a part of the blocks at a time, so that what is worked on stays in the processor's cache
+    parts = [_encode(values[k : k + PART * BLOCK]) for k in range(0, len(values), PART * BLOCK)]
+    sizes = np.concatenate([per_block for _, per_block in parts])
+    return np.concatenate([words for words, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs, at least 1; 64 beyond 60."""
+    if int(values.max()) < 1 << 53:  # exact in a float
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
+    wide = np.searchsorted(np.uint64(2) ** np.arange(1, 61, dtype=np.uint64), values, "right") + 1
+    return np.where(values >> np.uint64(60) > 0, 64, wide).astype(np.int8)
+
+
+def _encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, number of words of each block)."""
+    n = len(values)
     blocks = -(-n // BLOCK)
+    # how wide every run of 1, 2, 4 ... 32 values is, a block's end being the end of its runs
     bits = np.zeros((blocks, BLOCK), np.int8)
-    wide = np.searchsorted(np.uint64(2) ** np.arange(1, 61, dtype=np.uint64), values, "right") + 1
-    bits.reshape(-1)[:n] = np.where(values >> np.uint64(60) > 0, 64, wide)
+    bits.reshape(-1)[:n] = bit_lengths(values)
     runs = [bits]
     for k in (1, 2, 4, 8, 16):
         nxt = runs[-1].copy()
@@ -46,21 +62,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             k = c - (1 << p)
             np.maximum(top[:, :-k], runs[p][:, k:], out=top[:, :-k])
         best[top <= WIDTHS[s]] = s
+    best = best.reshape(-1)
     sizes = np.append(COUNTS, [1, 1])[best]
-    ends = np.full(blocks, BLOCK, np.int64)
-    ends[-1] = n - (blocks - 1) * BLOCK
     # all blocks are walked together, a word of each at a time
-    taken = np.zeros((blocks, BLOCK), bool)
-    at, live = np.zeros(blocks, np.int64), np.arange(blocks)
-    while len(live):
-        taken[live, at] = True
-        at = at + sizes[live, at]
-        on = at < ends[live]
-        live, at = live[on], at[on]
-    row, col = np.nonzero(taken)
-    sel = best[row, col].astype(np.int64)
-    have = np.minimum(sizes[row, col], ends[row] - col)
-    first = row * BLOCK + col
+    ends = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
+    taken = np.zeros(blocks * BLOCK, bool)
+    at = np.arange(blocks) * BLOCK
+    while len(at):
+        taken[at] = True
+        at = at + sizes[at]
+        on = at < ends
+        at, ends = at[on], ends[on]
+    first = np.flatnonzero(taken)
+    sel, row = best[first], first // BLOCK
+    have = np.minimum(sizes[first], np.minimum((row + 1) * BLOCK, n) - first)
     escaped = sel == ESCAPE
     place = np.cumsum(1 + escaped) - (1 + escaped)
     words = np.zeros(int(place[-1] + 1 + escaped[-1]), np.uint64)
@@ -68,18 +83,19 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words[place[escaped] + 1] = values[first[escaped]]
     for s in range(14):
         mine = np.flatnonzero(sel == s)
-        if len(mine):
-            acc = words[place[mine]]
-            for j in range(int(have[mine].max())):
-                k = mine if int(have[mine].min()) > j else mine[have[mine] > j]
-                part = values[first[k] + j] << np.uint64(j * int(WIDTHS[s]))
-                if k is mine:
-                    acc |= part
-                else:
-                    acc[have[mine] > j] |= part
-            words[place[mine]] = acc
-    per_block = np.bincount(row, 1 + escaped, minlength=blocks).astype(np.int64)
-    return words, np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32)
+        if not len(mine):
+            continue
+        count, start, acc = have[mine], first[mine], words[place[mine]]
+        least = int(count.min())
+        for j in range(int(count.max())):
+            shift = np.uint64(j * int(WIDTHS[s]))
+            if j < least:
+                acc |= values[start + j] << shift
+            else:
+                k = np.flatnonzero(count > j)
+                acc[k] |= values[start[k] + j] << shift
+        words[place[mine]] = acc
+    return words, np.bincount(row, 1 + escaped, minlength=blocks).astype(np.int64)
 
 
 def decode(words: np.ndarray, n: int, offsets: np.ndarray | None = None) -> np.ndarray:
