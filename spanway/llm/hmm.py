@@ -4,14 +4,18 @@ Tokens are words and one end for each text.  The 4,096 most frequent words of th
 training texts, the end, and 512 classes of all other words (by a hash of a word's
 last three bytes) are the symbols of a hidden Markov model with 8 states.
 Baum-Welch: every task runs the scaled forward and backward recursions over its
-texts, cut into segments of 128 tokens, and adds up expected counts; Spark sums
-them, and the driver gets one number for each parameter.  A word beyond the frequent ones
+texts and adds up expected counts; Spark sums them, and the driver gets one number for
+each parameter.  Long texts are run through in segments of 256 tokens, each with 16
+tokens before and behind it that aren't counted there, so that the recursions have
+forgotten where they began; every token and every transition of a text is counted once.
+Training ends after ``ROUNDS`` rounds, or when a round adds less than ``GAIN`` to the
+log10 likelihood of a token.  A word beyond the frequent ones
 has the probability of its class times its own smoothed share of the class, from the
 counts of all words.  A text's score is the exact log10 likelihood: the scaled forward
 recursion runs over the whole text, however long.
 
-Counts of words grow with the corpus and stay a table: the 65,536 most frequent
-words are looked up where texts are read, all others meet their counts in a join.
+Counts of words grow with the corpus and stay a table: at most 65,536 of the most frequent
+words (found by counts of counts, so no task sends more than the driver keeps) are looked up where texts are read, all others meet their counts in a join.
 The former have a fixed bound, the latter no hot key, as each is rarer than
 1 in 65,536.  Words are known by 64-bit hashes.
 
@@ -36,8 +40,8 @@ from spanway.llm.common import ascii_words, plain_text, ship, stored, text_slice
 STATES, FREQUENT, CLASSES, LOCAL = 8, 4096, 512, 65_536
 SYMBOLS = FREQUENT + CLASSES + 1
 END = SYMBOLS - 1
-SEGMENT = 128
-ROUNDS = 4
+SEGMENT, MARGIN = 256, 16
+ROUNDS, GAIN = 4, 1e-3
 SMOOTH = 0.1
 
 
@@ -71,51 +75,63 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of sequences (one after another in ``symbols``) by segments of equal rank."""
+def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, float]:
+    """(Baum-Welch counts of sequences, one after another in ``symbols``; their log10
+    likelihood), by segments that are run through side by side."""
     s = STATES
     out = np.zeros(s + s * s + s * SYMBOLS)
     if not len(symbols):
-        return out
+        return out, 0.0
     begins = np.cumsum(lengths) - lengths
     parts = -(-lengths // SEGMENT)
     which = np.repeat(np.arange(len(lengths)), parts)
     rank = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = begins[which] + rank * SEGMENT
-    size = np.minimum(lengths[which] - rank * SEGMENT, SEGMENT)
+    lead = np.where(rank > 0, MARGIN, 0)  # tokens before the segment that are only run through
+    own = np.minimum(lengths[which] - rank * SEGMENT, SEGMENT)
+    behind = np.minimum(lengths[which] - rank * SEGMENT - own, MARGIN)
+    at = begins[which] + rank * SEGMENT - lead
+    size = lead + own + behind
     order = np.argsort(-size, kind="stable")
-    at, size, first = at[order], size[order], rank[order] == 0
+    at, size, lead, first = at[order], size[order], lead[order], rank[order] == 0
+    stop = lead + own[order]
     emit = np.ascontiguousarray(model.emit.T)
     live = [int(n) for n in np.searchsorted(-size, -np.arange(int(size[0])), "left")]
     seen = [emit[symbols[at[:n] + t]] for t, n in enumerate(live)]
-    alpha = []
+    alpha, gain = [], 0.0
     for t, n in enumerate(live):
-        # a segment within a text begins in any state
+        # what comes before a segment begins in any state
         a = (np.where(first[:n, None], model.start, 1 / s) if t == 0 else alpha[-1][:n] @ model.move) * seen[t]
-        alpha.append(a / a.sum(1, keepdims=True))
+        scale = a.sum(1)
+        counted = (lead[:n] <= t) & (t < stop[:n])
+        gain += float(np.log10(scale[counted]).sum())
+        alpha.append(a / scale[:, None])
     beta = np.ones((live[-1], s))
     move = np.zeros((s, s))
-    gammas = [None] * len(live)
+    gammas, flat = [], []
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         if len(beta) < n:
             beta = np.concatenate([beta, np.ones((n - len(beta), s))])
-        g = alpha[t] * beta
-        gammas[t] = g / g.sum(1, keepdims=True)
-        if t:
-            onward = seen[t] * beta
-            before = alpha[t - 1][:n]
-            joint = np.einsum("ni,ij,nj->n", before, model.move, onward, optimize=True)
-            move += (before / joint[:, None]).T @ onward
-            beta = onward @ model.move.T
-            beta /= beta.sum(1, keepdims=True)
-    out[:s] = gammas[0][first].sum(0)
+        mine = np.flatnonzero((lead[:n] <= t) & (t < stop[:n]))
+        g = (alpha[t] * beta)[mine]
+        g /= g.sum(1, keepdims=True)
+        gammas.append(g)
+        flat.append(symbols[at[mine] + t])
+        if not t:
+            out[:s] = g[first[mine]].sum(0)
+            break
+        onward = seen[t] * beta
+        before = alpha[t - 1][:n]
+        ahead = before @ model.move
+        joint = (ahead * onward).sum(1)
+        move += (before[mine] / joint[mine, None]).T @ onward[mine]
+        beta = onward @ model.move.T
+        beta /= beta.sum(1, keepdims=True)
     out[s : s + s * s] = (move * model.move).reshape(-1)
-    flat = np.concatenate([symbols[at[:n] + t] for t, n in enumerate(live)])
-    gamma = np.concatenate(gammas)
+    flat_all, gamma = np.concatenate(flat), np.concatenate(gammas)
     for k in range(s):
-        out[s + s * s + k * SYMBOLS : s + s * s + (k + 1) * SYMBOLS] = np.bincount(flat, gamma[:, k], minlength=SYMBOLS)
-    return out
+        out[s + s * s + k * SYMBOLS : s + s * s + (k + 1) * SYMBOLS] = np.bincount(flat_all, gamma[:, k], minlength=SYMBOLS)
+    return out, gain
 
 
 def log10_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -151,6 +167,27 @@ def _counted(docs: DataFrame) -> DataFrame:
     return stored(words.filter("n > 0").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
 
 
+def most_frequent(words: DataFrame, most: int) -> list:
+    """At most ``most`` rows (word, n) of the greatest n, ties by word, in that order.  Counts
+    are narrowed to the last that fits by powers of 2^(1/32), then by n, then by the upper
+    bits of the word (a hash); the driver gets only counts of these and then the rows."""
+    steps = (-F.floor(F.log2(F.col("n").cast("double")) * 32), -F.col("n"), F.shiftright("word", 48))  # least first
+    taken, edge, room = F.lit(False), F.lit(True), most
+    for key in steps:
+        last = over = None
+        for k, c in sorted((r["k"], r["c"]) for r in words.filter(edge).groupBy(key.alias("k")).agg(F.count("*").alias("c")).collect()):
+            if c > room:
+                over = k
+                break
+            last, room = k, room - c
+        if last is not None:
+            taken = taken | (edge & (key <= F.lit(last)))
+        if over is None:
+            break
+        edge = edge & (key == F.lit(over))
+    return sorted(words.filter(taken).select("word", "n").collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def _batches(batches, limit: int = 1 << 18):
     """Batches of stored symbols in slices of about ``limit`` tokens."""
     for batch in batches:
@@ -175,7 +212,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     told = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, v_all = told[0] + ends, told[1] + (ends > 0)
     log_all = float(np.log10(n_all + SMOOTH * (v_all + 1)))
-    top = words.orderBy(F.desc("n"), "word").limit(LOCAL).collect()
+    top = most_frequent(words, LOCAL)
     symbol_counts = np.zeros(SYMBOLS)
     symbol_counts[: min(FREQUENT, len(top))] = [r["n"] for r in top[:FREQUENT]]
     symbol_counts[END] = ends
@@ -234,26 +271,30 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     schema = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, known long, base double, inner double, rare binary, rare_n binary"
     texts = stored(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(encode, schema), "symbols")
 
-    model = Model.begin(symbol_counts)
+    model, last = Model.begin(symbol_counts), -np.inf
     for _ in range(rounds if ends else 0):
         given = spark.sparkContext.broadcast(model)
 
         def count(batches, given=given):
-            total, any_ = None, False
+            total, gain = None, 0.0
             for _, symbols, lengths in _batches(batches):
-                c = expected_counts(given.value, symbols, lengths)
-                total, any_ = (c if total is None else total + c), True
-            if any_:
+                c, log = expected_counts(given.value, symbols, lengths)
+                total, gain = (c if total is None else total + c), gain + log
+            if total is not None:
+                total = np.append(total, gain)
                 at = np.flatnonzero(total)
                 for k in range(0, len(at), 10_000):
                     part = at[k : k + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], ["at", "x"])
 
         sums = texts.filter("not held_out").select("symbols", "n_tokens").mapInArrow(count, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
-        counts = np.zeros(STATES + STATES * STATES + STATES * SYMBOLS)
+        counts = np.zeros(STATES + STATES * STATES + STATES * SYMBOLS + 1)
         for r in sums.collect():
             counts[r["at"]] = r["x"]
-        model = Model.from_counts(counts, symbol_counts)
+        model, log = Model.from_counts(counts[:-1], symbol_counts), counts[-1] / n_all
+        if log - last < GAIN:
+            break
+        last = log
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches):
@@ -264,8 +305,6 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scored = texts.select("row", "doc_id", "held_out", "n_tokens", "symbols", "known", "base", "inner").mapInArrow(forward, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
 
     def unpack(batches):
-        logs = local.value[3]
-        del logs
         for batch in batches:
             keys = [np.frombuffer(x, "<i8") for x in batch.column("rare").to_pylist()]
             rows = np.repeat(batch.column("row").to_numpy(), [len(k) for k in keys])
