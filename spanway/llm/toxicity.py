@@ -4,24 +4,27 @@ A word's input is the embedding of its hash and the sum of the embeddings of its
 character n-grams (3 and 5 bytes, with marks at its ends), so that inflected and
 unseen forms of a known stem are met.  Two recurrent layers read a window of 32
 words in both directions; attention pools their states to one logit.  All
-overlapping windows of the whole text are scored (a new one every 24 words) and the
-highest decides.
-
-Training is numpy on the driver, from a sample of labelled rows whose bound is
-``MOST`` rows of either label (chosen by a hash of the id), and all windows of each are
-read.  Embeddings are fitted by counting: their first places hold the
-log odds of the word or n-gram in the sample, shrunk where few texts have it, the
-others are random.  The network is fitted by back propagation, a text being read with
-the odds of the other folds of the sample, in which neither it nor (as folds go by
-the least word hash) a copy of it was counted; else it would learn to trust odds that
-only reflect the text itself.  At last the bias is moved so that the score's threshold
-lies where the sample's texts, each read by the other folds, are parted best.  Labels are of texts, not of windows: in each round the
-highest window of every text carries its label.  Only texts are inputs of a score.
+overlapping windows of the whole text are scored (a new one every 16 words, so any 17
+words in a row lie whole in one) and the highest decides.
+
+Training is numpy on the driver, from a sample of labelled rows whose bounds are
+``MOST`` rows of either label (chosen by a hash of the id) and ``BYTES`` of text; all
+windows of each are read.  The network and half of each embedding are fitted by back
+propagation; a word or n-gram that fewer than ``SEEN`` texts of the sample have keeps
+zeros there.  The other half of an embedding is counted: the log odds of the word or
+n-gram in the sample, shrunk where few texts have it.  A text is read with the odds of the
+other folds of the sample, in which neither it nor (as folds go by the least word hash) a
+copy of it was counted; else the network would learn to trust odds that only reflect the
+text itself.  At last the bias is moved so that the score's threshold lies where the
+sample's texts, each read by the other folds' odds, are parted best.  Labels are of texts,
+not of windows: in each round the highest window of every text carries its label.  Only
+texts are inputs of a score.
 
 Cases: null and empty texts are one empty window, so they have a score too; repeated
 rows are scored one by one; labels that contradict each other count as toxic; without
 labels of both kinds every score is 0; an empty table gives no rows; an id that is null
-is hashed as the empty string; other columns aren't read.
+is hashed as the empty string; other columns aren't read, and kept by
+``civil_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import ascii_words, flat_ranges, plain_text, ship, text_slices
+from spanway.llm.common import ascii_words, flat_ranges, plain_text, ship, stored, text_slices
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 16
 WORDS, GRAMS = 1 << 15, 1 << 17
 SIZES = (3, 5)
-SIDE, STATE, ATTEND = 4, 8, 8
-MOST = 1200
+#: Places of an embedding; the first ODDS are counted, the others trained.
+SIDE, ODDS, STATE, ATTEND = 4, 2, 8, 8
+MOST, BYTES = 1500, 48 << 20
 EPOCHS, RATE, FOLDS = 6, 0.01, 5
+#: Embeddings are trained for what so many texts have, at this rate.
+SEEN, EMBED_RATE = 3, 0.05
 THRESHOLD = 0.7
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|/\\-_=+~^`@"
 
@@ -54,6 +60,10 @@ def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def features(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket of each word, n-gram buckets one word after another, offsets)."""
+    if len(names) > 50_000:
+        parts = [features(names[k : k + 50_000]) for k in range(0, len(names), 50_000)]
+        sizes = np.concatenate([np.diff(o) for _, _, o in parts])
+        return np.concatenate([w for w, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
     bare = [w.strip(STRIP).encode() for w in names]
     words = np.fromiter((xxhash.xxh32_intdigest(w) % WORDS for w in bare), np.int32, len(bare))
     raw = np.frombuffer(b"<" + b"><".join(bare) + b">", np.uint8).astype(np.uint32)
@@ -98,8 +108,8 @@ class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-        self.words = normal(WORDS, SIDE, scale=0.05)
-        self.grams = normal(GRAMS, SIDE, scale=0.02)
+        self.words = np.zeros((WORDS, SIDE), np.float32)
+        self.grams = np.zeros((GRAMS, SIDE), np.float32)
         self.p = {}
         for d in "fb":
             self.p[f"w{d}"] = normal(2 * SIDE, 3 * STATE, scale=0.25)
@@ -154,10 +164,8 @@ class Network:
         return pooled @ self.p["out"] + self.p["bias"][0]
 
     def gradients(self, at: np.ndarray, live: np.ndarray, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the parameters of the weighted log loss."""
+        """Gradients of the parameters, and of the inputs ``x``, of the weighted log loss."""
         kept: dict = {}
-        rows, at = np.unique(at, return_inverse=True)
-        x, at = x[rows], at.reshape(live.shape)
         logit = self.logits(at, live, self.tables(x), kept)
         g, p, s_ = {}, self.p, STATE
         dl = ((_sigmoid(logit) - label) * weight / max(weight.sum(), 1e-9)).astype(np.float32)
@@ -171,6 +179,7 @@ class Network:
         dy = de[:, :, None] * p["va"] * (1 - y * y)
         g["wa"] = s.reshape(-1, 2 * STATE).T @ dy.reshape(-1, ATTEND)
         ds = ds + dy @ p["wa"].T
+        g["x"] = np.zeros_like(x)
         for i, d in enumerate("fb"):
             u, du = p[f"u{d}"], np.zeros_like(p[f"u{d}"])
             dw, dc = np.zeros_like(p[f"w{d}"]), np.zeros_like(p[f"c{d}"])
@@ -186,6 +195,7 @@ class Network:
                 gate = np.concatenate([dz, dr, dn], axis=1)
                 dw += x[at[t]].T @ gate
                 dc += gate.sum(axis=0)
+                np.add.at(g["x"], at[t], np.where(live[t][:, None], gate @ p[f"w{d}"].T, 0))
                 dh = dh * z + dhu @ u.T
             g[f"u{d}"], g[f"w{d}"], g[f"c{d}"] = du, dw, dc
         return g
@@ -240,48 +250,80 @@ def parted(logit: np.ndarray, label: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
+class _Sample:
+    """The texts of a sample by words, with the counted halves of the embeddings by fold."""
+
+    def __init__(self, texts: list[str], label: np.ndarray):
+        codes, names, offsets = ascii_words(pa.array(texts, pa.large_string()))
+        self.codes, self.n, self.base, self.lengths = codes, max(len(names), 1), offsets[:-1], np.diff(offsets)
+        self.f = features(names) if names else (np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(2, np.int64))
+        self.fold = folds_of(codes, names, offsets)
+        # texts that have a word or n-gram, by fold and label
+        with_word, with_gram = np.zeros((FOLDS, 2, WORDS), np.int32), np.zeros((FOLDS, 2, GRAMS), np.int32)
+        n_texts = np.zeros((FOLDS, 2), np.int64)
+        words, grams, places = self.f
+        for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            mine = np.unique(codes[first:last])
+            with_word[self.fold[i], label[i], np.unique(words[mine])] += 1
+            with_gram[self.fold[i], label[i], np.unique(grams[flat_ranges(places[:-1][mine], np.diff(places)[mine])])] += 1
+            n_texts[self.fold[i], label[i]] += 1
+        each = np.arange(FOLDS)
+        odds = lambda having, of: _log_odds(having[of].sum(axis=0), n_texts[of].sum(axis=0))
+        self.word_odds = np.stack([odds(with_word, each != k) for k in each])
+        self.gram_odds = np.stack([odds(with_gram, each != k) for k in each])
+        self.all_odds = odds(with_word, each >= 0), odds(with_gram, each >= 0)
+        self.word_seen, self.gram_seen = (h.sum(axis=(0, 1)) >= SEEN for h in (with_word, with_gram))
+
+    def inputs(self, net: Network, fold: int) -> np.ndarray:
+        """Inputs of all words as texts of the fold read them."""
+        net.words[:, :ODDS], net.grams[:, :ODDS] = self.word_odds[fold], self.gram_odds[fold]
+        return net.inputs(self.f)
+
+    def rows(self, net: Network, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, word buckets, n-grams, their owners) of words; a key is fold * n + code."""
+        fold, code = key // self.n, key % self.n
+        words, grams, places = self.f
+        size = np.diff(places)[code]
+        mine = grams[flat_ranges(places[:-1][code], size)]
+        owner = np.repeat(np.arange(len(code)), size)
+        parts = np.concatenate([self.gram_odds[fold[owner], mine], net.grams[mine, ODDS:]], axis=1)
+        sums = _sum_rows(parts, np.arange(len(mine)), np.concatenate([[0], np.cumsum(size)])) * np.float32(0.25)
+        own = words[code]
+        return np.concatenate([self.word_odds[fold, own], net.words[own, ODDS:], sums], axis=1), own, mine, owner
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network | None:
     """The network, or None where one of the two labels is missing."""
     label = np.asarray(labels, np.int64)
     if not len(label) or label.min() == label.max():
         return None
     rng = np.random.default_rng(seed)
-    net = Network(seed)
-    codes, names, offsets = ascii_words(pa.array(texts, pa.large_string()))
-    f = features(names)
-    lengths, base = np.diff(offsets), offsets[:-1]
-    fold = folds_of(codes, names, offsets)
-    # texts that have a word or n-gram, by fold and label
-    with_word, with_gram = np.zeros((FOLDS, 2, WORDS), np.int32), np.zeros((FOLDS, 2, GRAMS), np.int32)
-    n_texts = np.zeros((FOLDS, 2), np.int64)
-    for i, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        mine = np.unique(codes[first:last])
-        grams = f[1][flat_ranges(f[2][:-1][mine], np.diff(f[2])[mine])]
-        with_word[fold[i], label[i], np.unique(f[0][mine])] += 1
-        with_gram[fold[i], label[i], np.unique(grams)] += 1
-        n_texts[fold[i], label[i]] += 1
-
-    def fitted(of: np.ndarray) -> np.ndarray:
-        """Embeddings from the folds ``of``; the inputs of all words."""
-        net.words[:, :2] = _log_odds(with_word[of].sum(axis=0), n_texts[of].sum(axis=0))
-        net.grams[:, :2] = _log_odds(with_gram[of].sum(axis=0), n_texts[of].sum(axis=0))
-        return net.inputs(f)
-
-    each = np.arange(FOLDS)
-    x = np.concatenate([fitted(each != k) for k in each])
-    fitted(each >= 0)
-    own = codes + np.repeat(fold * len(names), lengths)
-    doc, start = windows_of(lengths)
+    net, s = Network(seed), _Sample(texts, label)
+    doc, start = windows_of(s.lengths)
     best = np.zeros(len(doc), np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    # a little noise, so that the trained places of an embedding differ
+    for table, seen in ((net.words, s.word_seen), (net.grams, s.gram_seen)):
+        table[seen, ODDS:] = rng.normal(0, 0.02, (int(seen.sum()), SIDE - ODDS))
+    squares = {"words": np.full((WORDS, SIDE - ODDS), 1e-6, np.float32), "grams": np.full((GRAMS, SIDE - ODDS), 1e-6, np.float32)}
+
+    def embed(name: str, table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """A step of the trained places, each scaled by its own past gradients."""
+        hit, back = np.unique(rows, return_inverse=True)
+        g = np.zeros((len(hit), SIDE - ODDS), np.float32)
+        np.add.at(g, back, gradient)
+        squares[name][hit] += g * g
+        table[hit, ODDS:] -= np.where(seen[hit][:, None], EMBED_RATE * g / np.sqrt(squares[name][hit]), 0)
+
+    own = s.codes + np.repeat(s.fold * s.n, s.lengths)
     step = 0
     for epoch in range(epochs + 1):
         for which in range(FOLDS):
-            part = x[which * len(names) : (which + 1) * len(names)] if names else np.zeros((1, 2 * SIDE), np.float32)
-            tables, theirs = net.tables(part), np.flatnonzero(fold[doc] == which)
+            part = s.inputs(net, which)
+            tables, theirs = net.tables(part), np.flatnonzero(s.fold[doc] == which)
             for k in range(0, len(theirs), 4096):
                 some = theirs[k : k + 4096]
-                at, live = _matrix(codes, base, lengths, doc[some], start[some])
+                at, live = _matrix(s.codes, s.base, s.lengths, doc[some], start[some])
                 if epoch:
                     best[some] = net.logits(at, live, tables)
                 else:  # no network yet: the window of the greatest log odds
@@ -295,14 +337,20 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             picks = rng.permutation(first)
             for k in range(0, len(picks), 64):
                 mine = picks[k : k + 64]
-                at, live = _matrix(own, base, lengths, doc[mine], start[mine])
-                g = net.gradients(at, live, x, label[doc[mine]], np.ones(len(mine), np.float32))
+                at, live = _matrix(own, s.base, s.lengths, doc[mine], start[mine])
+                key, at = np.unique(at, return_inverse=True)
+                x, words, grams, owner = s.rows(net, key)
+                g = net.gradients(at.reshape(live.shape), live, x, label[doc[mine]], np.ones(len(mine), np.float32))
+                dx = g.pop("x")
+                embed("words", net.words, s.word_seen, words, dx[:, ODDS:SIDE])
+                embed("grams", net.grams, s.gram_seen, grams, dx[owner, SIDE + ODDS :] * np.float32(0.25))
                 step += 1
-                for key, value in net.p.items():
-                    m, v = moments[key]
-                    m += 0.1 * (g[key] - m)
-                    v += 0.01 * (g[key] ** 2 - v)
+                for name, value in net.p.items():
+                    m, v = moments[name]
+                    m += 0.1 * (g[name] - m)
+                    v += 0.01 * (g[name] ** 2 - v)
                     value -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    net.words[:, :ODDS], net.grams[:, :ODDS] = s.all_odds
     return net
 
 
@@ -310,15 +358,26 @@ def remainder(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network | None:
-    """Train on at most ``most`` rows of either label whose remainder isn't 1."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST, bytes_: int = BYTES) -> Network | None:
+    """Train on labelled rows whose remainder isn't 1: of either label at most ``most``, and
+    no more than fit in half of ``bytes_``, in the order of a hash of the id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(0).union(pick(1)).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
+    # the driver gets sizes first, and then only texts that fit
+    sizes = rows.select("doc_id", "toxic", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h")).collect()
+    taken, left = [], {0: bytes_ // 2, 1: bytes_ // 2}
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        y = int(r["toxic"] > 0)
+        if r["size"] <= left[y]:
+            left[y] -= r["size"]
+            taken.append((r["doc_id"],))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    texts = sorted(rows.join(F.broadcast(wanted), "doc_id", "left_semi").collect(), key=lambda r: r["doc_id"])
+    return train([r["text"] for r in texts], [int(r["toxic"]) for r in texts])
 
 
 def _scored(docs: DataFrame, net: Network | None, schema: str, columns: list[str]) -> DataFrame:
