@@ -3,16 +3,27 @@
 Items and documents are cut into words; the hash of every ``GRAM`` consecutive
 words is taken and the minimum of ``WINDOW - GRAM + 1`` consecutive hashes kept.
 Two equal windows of ``WINDOW`` words keep the same minimum, so a shared span of
-that length always meets in the fingerprints.  The items' fingerprints go to a bit
-table of fixed size (128 KB, whatever the benchmark holds), which every scan task
-has; the few document windows whose fingerprint is in it are extended to their
-whole window and joined with the items' windows by their words, so neither hash
-collisions nor a full bit table change the result, only its cost.
+that length always meets in the fingerprints.
+
+Fingerprints are met in one of two ways.  Those of a benchmark with at most ``MARKED``
+windows go to a bit table that every scan task has (16 bits or more for a window, 128 KB
+to 2 MB, a literal of the plan); the document windows whose fingerprint is in it are
+extended.  Beyond that the documents' fingerprints, each once for a document, are joined
+with the benchmark's by a shuffle, and the windows whose fingerprint was met are extended.
+Either way an extended window is joined with the items' windows by its words, so neither
+hash collisions nor a full bit table change the result, only its cost.
+
+Which items a document meets depends on the set of windows that it hits alone.  Items are
+looked up once for each distinct set, so a passage that stands in many documents and in
+many items isn't multiplied out.  Items' windows are broadcast only up to
+``BROADCAST_BYTES`` by their measured size; windows are told from items, so a window that
+stands in every item is one row there.
 
 Cases: null text has no words; an item shorter than a window is one window, an
 item without words none; repeated document rows are answered one by one; items
 that share an id are one item; an item without an id is named ``null``; empty
-tables give no rows, or clean documents; other columns are not read.
+tables give no rows, or clean documents; other columns are not read, and whatever their
+names, ``clean_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -20,12 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import ascii_lower
+from spanway.llm.common import ascii_lower, stored
 
 WINDOW = 10
 GRAM = 5
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS = 20
+#: A bit table is taken for at most so many item windows; it has up to 2^24 bits.
+MARKED = 1 << 20
 #: Item windows up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -46,56 +59,74 @@ def minima(own: Column, n: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(words of a window joined by blanks, its length, its fingerprint, ids of its items)."""
+    """(item, span: the words of a window joined by blanks, len, print: its fingerprint), each once."""
     own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words("text").alias("w")).filter(F.size("w") > 0)
     own = own.withColumn("n", F.size("w")).withColumn("len", F.least(F.col("n"), F.lit(WINDOW)))
     mins = F.when(F.col("n") >= WINDOW, minima(F.col("w"), F.col("n"))).otherwise(F.array(F.xxhash64("w")))
     own = own.withColumn("mins", mins)
     own = own.select("item", "len", "w", F.posexplode("mins").alias("at", "print"))
-    own = own.select("item", "len", "print", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("span"))
-    return own.groupBy("span").agg(F.first("len").alias("len"), F.first("print").alias("print"), F.collect_set("item").alias("items"))
+    return own.select("item", "len", "print", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("span")).distinct()
 
 
-def bit_table(windows: DataFrame) -> Column:
-    """A literal array of 2^BITS bits in 64-bit words; the driver gets no more than those words."""
-    spot = F.col("print").bitwiseAND(F.lit((1 << BITS) - 1))
-    bits = windows.select(F.shiftright(spot, 6).alias("id"), F.expr("shiftleft(1L, cast(print & 63 as int))").alias("bit"))
-    table = [0] * (1 << (BITS - 6))
-    for row in bits.groupBy("id").agg(F.bit_or("bit").alias("bits")).collect():
+def bit_table(spans: DataFrame, bits: int) -> Column:
+    """A literal array of 2^bits bits in 64-bit words; the driver gets no more than those words."""
+    spot = F.col("print").bitwiseAND(F.lit((1 << bits) - 1))
+    marks = spans.select(F.shiftright(spot, 6).alias("id"), F.expr("shiftleft(1L, cast(print & 63 as int))").alias("bit"))
+    table = [0] * (1 << (bits - 6))
+    for row in marks.groupBy("id").agg(F.bit_or("bit").alias("bits")).collect():
         table[row["id"]] = row["bits"]
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
 
 
-def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: ``_row``, n_words, the spans hit, the items."""
-    windows = item_windows(items).cache()
-    about = windows.agg(F.collect_set("len"), F.coalesce(F.sum(F.length("span") + 40), F.lit(0))).first()
-    lengths, volume = sorted(about[0]), about[1]  # at most WINDOW lengths, one number
-    table = bit_table(windows)
+def _prints(w: Column, n: Column, size: int) -> Column:
+    """The fingerprint of each window of ``size`` words; needs n >= size."""
+    return minima(w, n) if size == WINDOW else F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
 
-    def inside(print_: Column) -> Column:
-        word = F.get(table, F.shiftright(print_, 6).bitwiseAND(F.lit((1 << (BITS - 6)) - 1)).cast("int"))
-        shift = print_.bitwiseAND(F.lit(63)).cast("int")
-        return F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1)) == 1
 
+def _candidates(docs: DataFrame, spans: DataFrame, lengths: list[int], count: int, marked: int) -> DataFrame:
+    """``_row``, n_words, maybe: the windows (at, span) of each row of ``docs`` whose fingerprint an item has."""
     own = docs.withColumn("_w", F.coalesce(words("text"), F.array().cast("array<string>"))).withColumn("_n", F.size("_w"))
     w, n = F.col("_w"), F.col("_n")
-    none = F.array().cast("array<struct<at:int,len:int,span:string>>")
-    found = []
-    for size in lengths:
-        prints = minima(w, n) if size == WINDOW else F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
-        at = F.filter(F.transform(prints, lambda p, i: F.when(inside(p), i).otherwise(-1)), lambda i: i >= 0)
-        spans = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.array_join(F.slice(w, i + 1, size), " ").alias("span")))
-        found.append(F.when(n >= size, spans).otherwise(none))
-    maybe = F.concat(*found) if found else none
-    rows = own.select("_row", F.col("_n").alias("n_words"), F.explode_outer(maybe).alias("c"))
-    # rows without a candidate get a key of their own: they are spread out, and no item has it
-    rows = rows.select("_row", "n_words", F.col("c.at").alias("at"), F.coalesce("c.span", F.concat(F.lit("\u0000"), F.col("_row").cast("string"))).alias("span"))
-    known = windows.select("span", "len", "items")
-    known = F.broadcast(known) if volume <= BROADCAST_BYTES else known
-    hits = rows.join(known, "span", "left")
-    hit = F.when(F.col("len").isNotNull(), F.struct("at", (F.col("at") + F.col("len")).alias("end")))
-    return hits.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    none = F.array().cast("array<struct<at:int,span:string>>")
+
+    def extended(inside) -> Column:
+        found = []
+        for size in lengths:
+            at = F.filter(F.transform(_prints(w, n, size), lambda p, i: F.when(inside(p), i).otherwise(-1)), lambda i: i >= 0)
+            taken = F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, size), " ").alias("span")))  # noqa: B023
+            found.append(F.when(n >= size, taken).otherwise(none))
+        return F.concat(*found) if found else none
+
+    if count <= marked:
+        bits = max(BITS, (16 * max(count, 1) - 1).bit_length())
+        table = bit_table(spans, bits)
+
+        def in_table(print_: Column) -> Column:
+            word = F.get(table, F.shiftright(print_, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).cast("int"))
+            shift = print_.bitwiseAND(F.lit(63)).cast("int")
+            return F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1)) == 1
+
+        return own.select("_row", F.col("_n").alias("n_words"), extended(in_table).alias("maybe"))
+    own = stored(own.select("_row", "_w", "_n"), "words")
+    empty = F.array().cast("array<bigint>")
+    each = F.array_distinct(F.concat(empty, *[F.when(n >= size, _prints(w, n, size)).otherwise(empty) for size in lengths]))
+    met = own.select("_row", F.explode_outer(each).alias("print")).filter("print is not null").join(spans.select("print").distinct(), "print", "left_semi")
+    met = met.groupBy("_row").agg(F.collect_set("print").alias("_met"))  # no more than the document's own fingerprints
+    own = own.join(met, "_row", "left")
+    return own.select("_row", F.col("_n").alias("n_words"), F.when(F.col("_met").isNull(), none).otherwise(extended(lambda p: F.array_contains("_met", p))).alias("maybe"))
+
+
+def _benchmark(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int], int, int]:
+    """(item windows, distinct spans with a number each, their lengths, how many, their bytes)."""
+    windows = stored(item_windows(items), "windows")
+    spans = stored(windows.groupBy("span").agg(F.first("len").alias("len"), F.first("print").alias("print")).withColumn("id", F.monotonically_increasing_id()), "spans")
+    about = spans.agg(F.collect_set("len"), F.count("*"), F.coalesce(F.sum(F.octet_length("span") + 40), F.lit(0))).first()
+    return windows, spans, sorted(about[0]), about[1], about[2]  # at most WINDOW lengths
+
+
+def _known(spans: DataFrame, volume: int) -> DataFrame:
+    own = spans.select("span", "len", "id")
+    return F.broadcast(own) if volume <= BROADCAST_BYTES else own
 
 
 def covered(spans: Column) -> Column:
@@ -105,26 +136,43 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, more, lambda a: a["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, marked: int = MARKED) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
-    own = docs.select("doc_id", "text").withColumn("_id", F.monotonically_increasing_id())
-    own = own.select(F.struct("doc_id", "_id").alias("_row"), "text")
-    out = _hits(own.withColumn("_row", F.concat_ws(":", F.col("_row._id").cast("string"), F.col("_row.doc_id").cast("string"))), items)
+    windows, spans, lengths, count, volume = _benchmark(items)
+    own = docs.select(F.concat_ws(":", F.monotonically_increasing_id().cast("string"), F.col("doc_id").cast("string")).alias("_row"), "text")
+    rows = _candidates(own, spans, lengths, count, marked).select("_row", "n_words", F.explode_outer("maybe").alias("c"))
+    # rows without a candidate get a key of their own: they are spread out, and no item has it
+    rows = rows.select("_row", "n_words", F.col("c.at").alias("at"), F.coalesce("c.span", F.concat(F.lit("\u0000"), "_row")).alias("span"))
+    hits = rows.join(_known(spans, volume), "span", "left")
+    hit = F.when(F.col("len").isNotNull(), F.struct("at", (F.col("at") + F.col("len")).alias("end")))
+    found = hits.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"), F.array_sort(F.collect_set("id")).alias("ids"))
+    key = F.when(F.size("ids") > 0, F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)).otherwise(F.col("_row"))
+    found = stored(found.select("_row", "n_words", covered(F.col("hits")).alias("n_hit"), "ids", key.alias("key")), "hits")
+    # the items of every distinct set of windows
+    sets = found.filter(F.size("ids") > 0).groupBy("key").agg(F.first("ids").alias("ids")).select("key", F.explode("ids").alias("id"))
+    owners = windows.join(spans.select("span", "id"), "span").select("id", "item")
+    named = sets.join(owners, "id").select("key", "item").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("names"))
+    out = found.join(named.select("key", "n_items", F.sha2("names", 256).alias("sha")), "key", "left")
     return out.select(
         F.when(F.instr("_row", ":") > 0, F.substring_index("_row", ":", -1)).cast("long").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
-        covered(F.col("spans")).cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    hit = _hits(own.select("_row", "text"), items).filter(F.size("spans") > 0).select("_row")
-    return own.join(hit, "_row", "left_anti").drop("_row")
+def clean_documents(docs: DataFrame, items: DataFrame, marked: int = MARKED) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept.  What is hit
+    follows from the text alone, so texts are known by their digest, and rows need no number."""
+    _, spans, lengths, count, volume = _benchmark(items)
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+    rows = _candidates(docs.select(digest(F.col("text")).alias("_row"), "text"), spans, lengths, count, marked)
+    # explode_outer: a filter on the windows themselves would be pushed below them, and find them twice
+    rows = rows.select("_row", F.explode_outer("maybe").alias("c")).select("_row", F.col("c.span").alias("span")).filter("span is not null")
+    hit = stored(rows.join(_known(spans, volume), "span", "left_semi").select("_row").distinct(), "hit")
+    return docs.join(hit, digest(docs["text"]) == hit["_row"], "left_anti")
 
 
 OP8_SQL = r"""
