@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import ascii_words, plain_text, ship, stored, text_slices
+from spanway.llm.common import ascii_words, fresh, plain_text, ship, stored, text_slices
 from spanway.llm.components import components
 
 HASHES, ROWS, BITS = 256, 4, 4
@@ -351,8 +351,9 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     """The rows of ``docs``, of each group of near duplicates one: the smallest id's
     (of repeated rows and of rows without an id the first).  Empty texts all stay.
     ``docs`` is stored once with its rows' numbers, so no later read can number them anew."""
-    own = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(own, threshold, size, "_row")
+    row = fresh(docs, "_row")
+    own = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(own, threshold, size, row)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    keep = found.groupBy("label").agg(first.alias("m")).select(F.col("m.row").alias("_row"))
-    return own.join(keep, "_row", "left_semi").drop("_row")
+    keep = found.groupBy("label").agg(first.alias("m")).select(F.col("m.row").alias(row))
+    return own.join(keep, row, "left_semi").drop(row)
