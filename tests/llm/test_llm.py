@@ -86,10 +86,29 @@ def test_personal_data_learns_from_context(spark):
     known = [(i, f"please charge card number {c} for it") for i, c in enumerate(cards)]
     unseen = 1234567812345671
     assert "card" not in plain_spans(str(unseen))
-    docs = frame(spark, known + [(50, f"please charge card number {unseen} for it"), (51, f"some other words before {unseen - 10} here")])
+    mixed = [(100 + i, f"{w} is what {w}{i} saw near {unseen + 9 * i + 9} by {w}") for i, w in enumerate(PROSE)]
+    docs = frame(spark, known + mixed + [(50, f"please charge card number {unseen} for it"), (51, f"some other words before {unseen - 10} here")])
     got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
-    assert got[50].n_learned == 1 and got[50].n_card == 0 and got[50].spans == "card:26:42"
-    assert got[51].n_learned == 0
+    assert got[50].n_learned == 1 and got[50].n_card == 0 and got[50].spans == "card:26:42" and got[50].n_spans == 1
+    assert sum(r.n_learned for r in got.values()) == 1
+
+
+def test_personal_data_follows_chains(spark):
+    """Strings found by one pattern raise another, and so on: secrets behind a sign, from seeds of known formats."""
+    digest = lambda k, n: hashlib.sha1(f"{k}".encode()).hexdigest()[:n]
+    rows = [(i, f'set {PROSE[i]} token = "{digest(i, 40)}" here') for i in range(12)]
+    rows += [(100 + i, f"log {PROSE[i]} password={digest(i + 50, 17)}9a then {PROSE[i + 1]}") for i in range(8)]
+    rows += [(200 + i, f"part {PROSE[i]}9{digest(i + 90, 15)} and {PROSE[i + 2]}") for i in range(8)]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    assert all(got[i].n_secret == 1 and got[i].n_learned == 0 for i in range(12))
+    assert all(got[100 + i].n_secret == 1 and got[100 + i].n_learned == 1 for i in range(8))
+    assert all(got[200 + i].n_spans == 0 for i in range(8))
+
+
+def test_prefix_sums(spark):
+    rows = [([],), ([5],), (list(range(1000)),), ([1] * 256,), ([2] * 257,)]
+    out = spark.createDataFrame(rows, "v array<int>").select("v", pii.prefix_sums(F.col("v")).alias("s")).collect()
+    assert all(r.s == [sum(r.v[:k]) for k in range(len(r.v))] for r in out)
 
 
 def test_sharding(spark, texts):
@@ -203,6 +222,48 @@ def test_bit_estimates():
         assert abs(minhash.estimate(minhash.unequal(x, y))[0, 0] - share) < 0.12
 
 
+def plain_scores(texts, held):
+    """The returned scores without Spark: one round of training, then each text by itself."""
+    tokens = [(i, words(t)) for i, t in texts]
+    train = [ws for i, ws in tokens if not held(i)]
+    n = collections.Counter(w for ws in train for w in ws)
+    key_of = {w: int(hmm.word_keys([w])[0]) for _, ws in tokens for w in ws}
+    class_of = {w: int(hmm.word_classes([w])[0]) for _, ws in tokens for w in ws}
+    rank = {w: k for k, w in enumerate(sorted(n, key=lambda w: (-n[w], key_of[w]))[: hmm.FREQUENT])}
+    rest = [w for w in n if w not in rank]
+    class_n, class_v = collections.Counter(), collections.Counter(class_of[w] for w in rest)
+    for w in rest:
+        class_n[class_of[w]] += n[w]
+    symbol = lambda w: rank.get(w, hmm.FREQUENT + class_of[w])
+    totals = np.zeros(hmm.SYMBOLS)
+    for w, c in n.items():
+        totals[symbol(w)] += c
+    totals[hmm.END] = len(train)
+    coded = lambda ws: np.array([*map(symbol, ws), hmm.END])
+    model = hmm.Model.begin(totals)
+    counts, _ = hmm.expected_counts(model, np.concatenate([coded(ws) for ws in train]), np.array([len(ws) + 1 for ws in train]))
+    model = hmm.Model.from_counts(counts, totals)
+    out = {}
+    for i, ws in tokens:
+        a, log = model.start, 0.0
+        for t, x in enumerate(coded(ws)):
+            a = (a if t == 0 else a @ model.move) * model.emit[:, x]
+            log, a = log + math.log10(a.sum()), a / a.sum()
+        share = lambda w: math.log10((n[w] + hmm.SMOOTH) / (class_n[class_of[w]] + hmm.SMOOTH * (class_v[class_of[w]] + 1)))
+        out[i] = log + sum(share(w) for w in ws if w not in rank)
+    return out
+
+
+def test_most_frequent(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(w), int(n)) for w, n in zip(rng.integers(-(2**63), 2**63, 3000), np.concatenate([rng.integers(1, 5, 2900), rng.integers(100, 10**6, 100)]), strict=True)]
+    table = spark.createDataFrame(rows, "word long, n long")
+    order = sorted(((n, w) for w, n in rows), key=lambda r: (-r[0], r[1]))
+    for most in (0, 50, 100, 500, 3000, 5000):
+        got = [(r["n"], r["word"]) for r in hmm.most_frequent(table, most)]
+        assert got == order[: len(got)] and len(got) >= min(most, 3000) - 10
+
+
 def test_language_model(spark, texts):
     rng = np.random.default_rng(1)
     model = hmm.Model.begin(rng.integers(0, 100, hmm.SYMBOLS))
@@ -219,8 +280,30 @@ def test_language_model(spark, texts):
 
     parts = np.split(symbols, np.cumsum(lengths)[:-1])
     assert hmm.log10_likelihood(model, symbols, lengths) == pytest.approx([forward(p) for p in parts])
-    counts = hmm.expected_counts(model, symbols, lengths)
+    counts, log = hmm.expected_counts(model, symbols, lengths)
     assert counts[hmm.STATES + hmm.STATES**2 :].sum() == pytest.approx(lengths.sum())
+    assert counts[hmm.STATES : hmm.STATES + hmm.STATES**2].sum() == pytest.approx((lengths - 1).sum())
+    assert log == pytest.approx(hmm.log10_likelihood(model, symbols, lengths).sum(), rel=1e-6)
+
+    def backward_counts(seq):
+        """Exact expected counts of one whole sequence."""
+        alpha, beta = [model.start * model.emit[:, seq[0]]], [np.ones(hmm.STATES)]
+        alpha[0] = alpha[0] / alpha[0].sum()
+        for s in seq[1:]:
+            a = (alpha[-1] @ model.move) * model.emit[:, s]
+            alpha.append(a / a.sum())
+        for s in seq[:0:-1]:
+            b = model.move @ (model.emit[:, s] * beta[0])
+            beta.insert(0, b / b.sum())
+        move = np.zeros_like(model.move)
+        for t in range(1, len(seq)):
+            joint = alpha[t - 1][:, None] * model.move * (model.emit[:, seq[t]] * beta[t])[None, :]
+            move += joint / joint.sum()
+        first = alpha[0] * beta[0]
+        return np.concatenate([first / first.sum(), move.reshape(-1)])
+
+    exact = sum(backward_counts(p) for p in parts)
+    assert counts[: hmm.STATES + hmm.STATES**2] == pytest.approx(exact, rel=1e-4, abs=1e-4)
     better = hmm.Model.from_counts(counts, np.zeros(hmm.SYMBOLS))
     assert hmm.log10_likelihood(better, symbols, lengths).sum() > hmm.log10_likelihood(model, symbols, lengths).sum()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
@@ -230,7 +313,7 @@ def test_language_model(spark, texts):
     want = sorted(key((i, held(i), len(ws), sum(seen[w] > 0 for w in ws), n, f"{sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws):.5f}")) for i, ws in tokens)
     out = hmm.score_texts(frame(spark, texts), rounds=1).collect()
     assert sorted(key((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5f}")) for r in out) == want
-    assert all(r.score < 0 for r in out)
+    assert {r.doc_id: r.score for r in out if r.doc_id is not None and r.doc_id > 9} == pytest.approx({i: x for i, x in plain_scores(texts, held).items() if i is not None and i > 9}, rel=1e-6)
     assert hmm.score_texts(frame(spark, []), rounds=1).count() == 0
 
 
@@ -239,21 +322,55 @@ def test_mixing(spark, texts):
     docs = spark.createDataFrame(rows, SCHEMA)
     here = {r.doc_id: r for r in mixing.weigh(docs).collect()}
     there = {r.doc_id: r for r in mixing.weigh(docs, most=0).collect()}
-    assert len(here) == 402 and all(abs(here[k].probability - there[k].probability) < 1e-6 for k in here)
+    assert len(here) == 402 and all(abs(here[k].probability - there[k].probability) < 1e-4 for k in here)
     tokens = sum(r.n_tokens for r in here.values())
-    assert sum(r.n_tokens * r.probability for r in here.values()) == pytest.approx(0.9 * tokens)
+    sampled = sum(r.n_tokens * r.probability for r in here.values())
     for dim in ("source", "lang", "topic"):
         plain, raked = collections.Counter(), collections.Counter()
         for r in here.values():
             plain[r[dim]] += r.n_tokens / tokens
-            raked[r[dim]] += r.n_tokens * r.weight / tokens
+            raked[r[dim]] += r.n_tokens * r.probability / sampled
         norm = sum(x**0.7 for x in plain.values() if x)
-        assert all(abs(raked[k] - plain[k] ** 0.7 / norm) < 1e-6 for k in plain if plain[k])
+        assert all(abs(raked[k] - plain[k] ** 0.7 / norm) < 1e-4 for k in plain if plain[k])
     taken = mixing.sample(docs)
     assert taken.columns == docs.columns and {r.doc_id for r in taken.collect()} == {k for k, r in here.items() if r.selected}
+    for r in here.values():
+        assert r.selected == (int(hashlib.md5(f"{r.doc_id}:mix".encode()).hexdigest()[:12], 16) / 2**48 < r.probability)
     assert mixing.weigh(frame(spark, [])).count() == 0
 
 
+def test_mixing_reaches_targets(spark):
+    """The documents that are taken have the wanted shares, where many are drawn."""
+    rows = [(i, "w " * 20, "en" if i % 10 else "fr", f"s{i * 7 % 3}", i % 2) for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind int")
+    targets = {"lang": {"en": 0.7, "fr": 0.3}, "source": {"s0": 0.2, "s1": 0.3, "s2": 0.5}, "topic": {"0": 0.4, "1": 0.6}}
+    out = mixing.weigh(docs, targets=targets, topic=F.col("kind"))
+    total = out.filter("selected").agg(F.sum("n_tokens")).first()[0]
+    for dim, want in targets.items():
+        got = {r[0]: r[1] / total for r in out.filter("selected").groupBy(dim).agg(F.sum("n_tokens")).collect()}
+        assert all(abs(got[k] - v) < 0.01 for k, v in want.items())
+    only = mixing.sample(docs, targets={"lang": {"fr": 1.0}}, topic=F.col("kind"))
+    assert {r[0] for r in only.select("lang").distinct().collect()} == {"fr"}
+    for wrong in ({"lang": {"xx": 1.0}}, {"size": {"a": 1.0}}, {"lang": {"en": -1.0}}):
+        with pytest.raises(ValueError):
+            mixing.weigh(docs, targets=wrong)
+
+
+CLASHING = ["_row", "_source", "_p", "_w", "_n", "row", "label", "whole", "draw", "probability", "weight", "hits", "ids", "key", "score", "N_TOKENS", "_ROW_"]
+
+
+def test_clashing_columns(spark):
+    """Filters keep every other column as it is, whatever its name."""
+    rows = [(i, " ".join(PROSE[i % 5 : 12 + i % 7]) + f" {i}", "en", f"s{i % 2}", *[f"{c}{i}" for c in CLASHING]) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *CLASHING])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "no such words in any of these documents at all here")], "item_id long, text string")
+    whole = {r.doc_id: r for r in docs.collect()}
+    for out in (mixing.sample(docs), winnowing.clean_documents(docs, bench), minhash.one_of_each(docs), toxicity.civil_documents(docs, labels), sharding.assign(docs)):
+        got = out.select(*docs.columns).collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and got and all(whole[r.doc_id] == r for r in got)
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16)], i) for i in range(300)]
@@ -326,6 +443,9 @@ def test_decontamination(spark, texts):
         want.append(key((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))))
     docs = frame(spark, texts)
     assert sorted(map(key, winnowing.decontaminate(docs, bench).collect())) == sorted(want)
+    # fingerprints joined by a shuffle, as beyond a bit table's size
+    assert sorted(map(key, winnowing.decontaminate(docs, bench, 0).collect())) == sorted(want)
+    assert winnowing.clean_documents(docs, bench, 0).count() == sum(w[5] == "False" for w in want)
     clean = winnowing.clean_documents(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(w[5] == "False" for w in want)
     assert winnowing.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -365,7 +485,7 @@ def test_toxicity_gradients():
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
     g = net.gradients(at, live, x, y, np.ones(5))
-    for name, value in net.p.items():
+    for name, value in [*net.p.items(), ("x", x)]:
         i = tuple(0 for _ in value.shape)
         old = value[i]
         value[i] = old + 1e-4
