@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from spanway.lrs import LRS, options
 from spanway.operators import analyze, cluster, transform
 from spanway.operators.relation import RID, Relation
 from spanway.plans.closure import closure_flags
+from spanway.plans.pairs import extent
 
 
 class EventFrame:
@@ -128,6 +130,13 @@ class EventFrame:
         bc, ec = closure_flags(self.lrs.closed, self.keys, "_beg", "_end", RID)
         return df.withColumns({"_bc": bc, "_ec": ec})
 
+    @cached_property
+    def extent(self) -> tuple[float, float, float]:
+        """(mean length, greatest length, length of the axis): one scan of the measures, once for a frame."""
+        beg, end = (self.lrs.beg_col, self.lrs.end_col) if self.is_linear else (self.lrs.loc_col, self.lrs.loc_col)
+        number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        return extent(self.df.select(number(beg).alias("_beg"), number(end).alias("_end")))
+
     # scans
 
     def valid(self) -> Column:
@@ -223,8 +232,8 @@ class EventFrame:
     def find_inside(self, enforce_edges: bool = True) -> DataFrame:
         return analyze.find_inside(self, enforce_edges)
 
-    def neighbours(self) -> DataFrame:
-        return analyze.neighbours(self)
+    def neighbours(self, enforce_edges: bool = False) -> DataFrame:
+        return analyze.neighbours(self, enforce_edges)
 
     # transforms
 
@@ -269,8 +278,8 @@ class EventFrame:
     def resegment(self, length: float = 1.0, fill: str = "cut", index_col: str = "segment_index") -> EventFrame:
         return transform.resegment(self, length, fill, index_col)
 
-    def dissolve(self, retain: Sequence[str] = (), index_col: str | None = "dissolved_index") -> EventFrame:
-        return transform.dissolve(self, retain, index_col)
+    def dissolve(self, retain: Sequence[str] = (), index_col: str | None = "dissolved_index", merge_geom: bool | None = None) -> EventFrame:
+        return transform.dissolve(self, retain, index_col, merge_geom)
 
     def separate(self, anchor: str = "centers", method: str = "balanced", drop_short: bool = False) -> EventFrame:
         return transform.separate(self, anchor, method, drop_short)
@@ -281,8 +290,8 @@ class EventFrame:
     def cluster(self, max_gap: float = 0.0, name: str = "cluster", link_col: Sequence[str] | str | None = None, enforce_edges: bool = False) -> EventFrame:
         return cluster.cluster(self, max_gap, name, link_col, enforce_edges)
 
-    def impute_keys(self, other: EventFrame, keys: Sequence[str]) -> EventFrame:
-        return transform.impute_keys(self, other, keys)
+    def impute_keys(self, other: EventFrame, keys: Sequence[str] | None = None, func: str = "first", fillna=None, missing: str = "warn") -> EventFrame:
+        return transform.impute_keys(self, other, keys, func, fillna, missing)
 
     # geometry
 
@@ -315,20 +324,16 @@ class EventFrame:
     def intersect(self, other: EventFrame, enforce_edges: bool = True) -> DataFrame:
         return self.relate(other).intersect(enforce_edges)
 
-    def overlay(self, other: EventFrame, normalize: bool = False, norm_by: str = "right", profile=None) -> DataFrame:
+    def overlay(self, other: EventFrame, normalize: bool = True, norm_by: str = "right", profile=None) -> DataFrame:
         return self.relate(other).overlay(normalize, norm_by, profile)
 
     def interpolate_from(self, other: EventFrame, name: str = "point", multiple: str = "first") -> DataFrame:
-        """(_rid, point): where a row's place lies on the first (or last) line that holds it."""
-        rows = self.df.select(RID, F.col(self.lrs.loc_col).cast("double").alias("_loc"))
-        pick = getattr(self.relate(other), multiple)(other.lrs.geom_m_col)
-        return pick.join(rows, RID).select(RID, lines.point_at_m(F.col(other.lrs.geom_m_col), F.col("_loc")).alias(name))
+        """(_rid, point): where a row's place lies on the line that holds it."""
+        return self.relate(other).interpolate(other.lrs.geom_m_col, multiple=multiple, name=name)
 
     def cut_from(self, other: EventFrame, name: str = "geom_m", multiple: str = "first") -> DataFrame:
-        """(_rid, geom_m): the part of the first (or last) overlapping line under a row."""
-        rows = self.df.select(RID, F.col(self.lrs.beg_col).cast("double").alias("_b"), F.col(self.lrs.end_col).cast("double").alias("_e"))
-        pick = getattr(self.relate(other), multiple)(other.lrs.geom_m_col, enforce_edges=False)
-        return pick.join(rows, RID).select(RID, lines.cut(F.col(other.lrs.geom_m_col), F.col("_b"), F.col("_e")).alias(name))
+        """(_rid, geom_m): the part of the overlapping line under a row."""
+        return self.relate(other).cut(other.lrs.geom_m_col, multiple=multiple, name=name)
 
     def distribute_from(self, other: EventFrame, columns=None, **how) -> DataFrame:
         return self.relate(other).distribute(columns, **how)

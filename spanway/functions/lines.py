@@ -141,6 +141,18 @@ def cut(line: Column, beg: Column, end: Column) -> Column:
     return _bound(line, beg, end)(lambda g, b, e: _bound(g, F.greatest(b, first_m(g)), F.least(e, last_m(g)))(part))
 
 
+def merge(parts: Column) -> Column:
+    """One line of lines in order, each of which begins at the vertex where the one before
+    ends (joints are there once); null for none, an error where they don't follow."""
+
+    def body(own: Column) -> Column:
+        follows = F.forall(F.sequence(F.lit(1), F.size(own)), lambda k: (k == 1) | (F.try_element_at(F.get(own, k - 2), F.lit(-1)) == F.try_element_at(F.get(own, k - 1), F.lit(1))))
+        flat = F.flatten(F.transform(own, lambda g, i: F.when(i == 0, g).otherwise(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))))))
+        return F.when(F.size(own) == 0, F.lit(None)).when(follows, flat).otherwise(F.raise_error(F.lit("the lines don't follow one another")))
+
+    return let(F.filter(parts, lambda g: g.isNotNull()), body)
+
+
 def nearest(line: Column, x: Column, y: Column) -> Column:
     """struct<d,x,y,m,along>: the point of the line nearest to (x, y); ties to the first."""
 

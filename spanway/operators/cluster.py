@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanway.errors import SchemaError
+from spanway.operators.analyze import checkpointed, running_total
 
 RID = "_rid"
 
@@ -16,19 +17,14 @@ def label_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(_rid, label): the least id that can be reached.  Labels spread by minima and
     shortcuts, so long chains take logarithmically many rounds; each round is a
     checkpoint in the shared folder."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanway-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = rows.select(RID, F.col(RID).alias("label")).checkpoint()
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = checkpointed(rows.select(RID, F.col(RID).alias("label")))
     while True:
         near = both.join(labels.select(F.col(RID).alias("b"), "label"), "b").groupBy(F.col("a").alias(RID)).agg(F.min("label").alias("_m"))
         new = labels.join(near, RID, "left").select(RID, F.least("label", F.coalesce("_m", "label")).alias("label"), F.col("label").alias("_old"))
         # a shortcut: the label of the label
         jump = new.select(F.col(RID).alias("label"), F.col("label").alias("_to"))
-        new = new.join(jump, "label", "left").select(RID, F.least("label", F.coalesce("_to", "label")).alias("label"), "_old").checkpoint()
+        new = checkpointed(new.join(jump, "label", "left").select(RID, F.least("label", F.coalesce("_to", "label")).alias("label"), "_old"))
         done = new.filter("label <> _old").isEmpty()
         labels = new.drop("_old")
         if done:
@@ -39,10 +35,13 @@ def cluster(frame, max_gap: float, name: str, link_col: Sequence[str] | str | No
     """Rows of a key are buffered by ``max_gap`` on both sides, so gaps below twice that
     join them; those that overlap are one cluster.  Rows with equal, non-null
     ``link_col`` are joined too, across keys.  A cluster's number is its place by least id.
+    A column that is called ``name`` already is replaced.
 
     Inside a key clusters are islands, found by a running maximum; only links need
     components, over islands and not rows."""
     keys, linear = frame.keys, frame.is_linear
+    if max_gap < 0:
+        raise ValueError("the gap can't be negative")
     if not linear and not max_gap and enforce_edges:
         raise SchemaError("points without a gap have no edges")
     b, e = (frame.lrs.beg_col, frame.lrs.end_col) if linear else (frame.lrs.loc_col, frame.lrs.loc_col)
@@ -61,7 +60,7 @@ def cluster(frame, max_gap: float, name: str, link_col: Sequence[str] | str | No
         edges = linked.groupBy("_link").agg(F.min("_label").alias("_head")).join(linked, "_link").select(F.col("_head").alias("a"), F.col("_label").alias("b"))
         labels = label_components(rows.select(F.col("_label").alias(RID)).distinct(), edges)
         rows = rows.join(labels.select(F.col(RID).alias("_label"), "label"), "_label").select(RID, F.col("label").alias("_label"))
-    # numbers by least id: heads are few beside rows; they alone are ranked
-    heads = rows.select("_label").distinct()
-    heads = heads.select("_label", (F.row_number().over(Window.orderBy("_label")) - 1).alias(name))
-    return frame._with(frame.df.join(rows.join(heads, "_label").drop("_label"), RID))
+    # numbers by least id: heads are numbered by ranges, no task sees all of them
+    heads = running_total(rows.select("_label").distinct().withColumn("_one", F.lit(1)), ["_label"], "_one")
+    numbered = rows.join(heads.select("_label", F.col("_before").alias(name)), "_label").drop("_label")
+    return frame._with(frame.df.drop(name).join(numbered, RID))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanway.errors import CompatibilityError, SchemaError
+from spanway.functions import lines
+from spanway.plans.pairs import bin_width, levels_of, overlaps, pair_join
 
 RID = "_rid"
 
@@ -35,31 +37,49 @@ def integrate(frames: Sequence, fill_gaps: bool = False, split_at_locs: bool = F
         edges = own if edges is None else edges.union(own)
     order = Window.partitionBy(*keys).orderBy("beg")
     pieces = edges.distinct().withColumn("end", F.lead("beg").over(order)).filter(F.col("end").isNotNull())
-    from spanway.frame import EventFrame
-
-    base = pieces
-    names = []
-    for i, f in enumerate(frames):
-        name = f"integrated_index_{i}"
-        names.append(name)
+    names = [f"integrated_index_{i}" for i in range(len(frames))]
+    linear = [(n, f) for n, f in zip(names, frames, strict=True) if f.is_linear]
+    extents = [f.extent for _, f in linear]
+    width = width or bin_width(*extents)
+    levels = levels_of(width, *extents)
+    cells = pieces.select(*keys, F.col("beg").alias("_beg"), F.col("end").alias("_end"))
+    base = [*keys, F.col("l_beg").alias("beg"), F.col("l_end").alias("end")]
+    if not expand:
+        # the rows of all tables, each table's ids in a column of its own, meet the pieces in one join
+        rows = None
+        for n, f in linear:
+            own = f.side().select(*keys, "_beg", "_end", F.col(RID).alias(n))
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        met = pair_join(cells, rows, keys, overlaps(False), width, levels)
+        out = met.groupBy(*base).agg(*[F.min(f"r{n}").alias(n) for n, _ in linear])
+        if fill_gaps:
+            out = out.unionByName(pieces, allowMissingColumns=True).groupBy(*keys, "beg", "end").agg(*[F.min(n).alias(n) for n, _ in linear])
+        for n, f in zip(names, frames, strict=True):
+            if not f.is_linear:
+                out = out.withColumn(n, F.lit(None).cast(dict(f.df.dtypes)[RID]))
+        return out.select(*keys, "beg", "end", *names)
+    out = pieces
+    for n, f in linear:
+        met = pair_join(cells, f.side().select(*keys, "_beg", "_end", F.col(RID).alias("_id")), keys, overlaps(False), width, levels)
+        out = out.join(met.select(*base, F.col("r_id").alias(n)), [*keys, "beg", "end"], "left")
+    for n, f in zip(names, frames, strict=True):
         if not f.is_linear:
-            base = base.withColumn(name, F.lit(None).cast(dict(f.df.dtypes)[RID]))
-            continue
-        cells = EventFrame(pieces.withColumn(RID, F.struct(*keys, "beg")), first.lrs.set_params(beg_col="beg", end_col="end", loc_col=None, geom_col=None, geom_m_col=None))
-        met = cells.relate(f, width).intersect(enforce_edges=False)
-        met = met if expand else met.groupBy("l_rid").agg(F.min("r_rid").alias("r_rid"))
-        met = met.select(*[F.col(f"l_rid.{k}").alias(k) for k in [*keys, "beg"]], F.col("r_rid").alias(name))
-        base = base.join(met, [*keys, "beg"], "left")
-    out = base.select(*keys, "beg", "end", *names)
-    linear = [n for n, f in zip(names, frames, strict=True) if f.is_linear]
-    return out if fill_gaps else out.filter(F.coalesce(*[F.col(n).isNotNull().cast("int") * 1 for n in linear][:1]) + sum((F.col(n).isNotNull().cast("int") for n in linear[1:]), F.lit(0)) > 0)
+            out = out.withColumn(n, F.lit(None).cast(dict(f.df.dtypes)[RID]))
+    out = out.select(*keys, "beg", "end", *names)
+    covered = F.lit(False)
+    for n, _ in linear:
+        covered = covered | F.col(n).isNotNull()
+    return out if fill_gaps else out.filter(covered)
 
 
-def constrain_to(frame, bounds, dissolve: bool = True, index_col: str = "constrained_index", width: float | None = None):
+def constrain_to(frame, bounds, dissolve: bool = True, index_col: str = "constrained_index", width: float | None = None, cut_geom: bool = False):
     """The parts of rows that ``bounds`` covers; parts of a row that meet are one part
-    if ``dissolve``."""
-    b, e, keys = frame.lrs.beg_col, frame.lrs.end_col, frame.keys
-    others = [c for c in frame.df.columns if c not in (*keys, b, e, RID, frame.lrs.geom_col, frame.lrs.geom_m_col)]
+    if ``dissolve``.  Geometry is left out, or with ``cut_geom`` cut from the measured lines."""
+    b, e, keys, g = frame.lrs.beg_col, frame.lrs.end_col, frame.keys, frame.lrs.geom_m_col
+    if cut_geom and not frame.is_spatial_m:
+        raise SchemaError("cutting needs measured lines")
+    gone = (*keys, b, e, RID, frame.lrs.geom_col, *([] if cut_geom else [g]))
+    others = [c for c in frame.df.columns if c not in gone]
     pairs = frame.relate(bounds, width)._pairs({"l": others}, False)
     parts = pairs.select(*keys, F.greatest("l_beg", "r_beg").alias(b), F.least("l_end", "r_end").alias(e), F.col("l_rid").alias(index_col), *[F.col(f"l_v_{c}").alias(c) for c in others]).filter(F.col(e) > F.col(b))
     group = Window.partitionBy(index_col).orderBy(b, e)
@@ -77,4 +97,6 @@ def constrain_to(frame, bounds, dissolve: bool = True, index_col: str = "constra
         inside = cut.join(parts, index_col).filter((F.col("_x") >= F.col(b)) & (F.col("_y") <= F.col(e)))
         parts = inside.groupBy(index_col, F.col("_x").alias("_b"), F.col("_y").alias("_e")).agg(*first).withColumnsRenamed({"_b": b, "_e": e})
     parts = parts.select(*keys, b, e, index_col, *others).withColumn(RID, F.struct(F.col(index_col).alias("row"), F.col(b).alias("beg")))
-    return frame._with(parts, frame.lrs.set_params(geom_col=None, geom_m_col=None))
+    if cut_geom:
+        parts = parts.withColumn(g, lines.cut(F.col(g), F.col(b), F.col(e)))
+    return frame._with(parts, frame.lrs.set_params(geom_col=None, geom_m_col=g if cut_geom else None))

@@ -1,9 +1,13 @@
 """Relating two event tables: pairs by key and place, and aggregates over them.
 
 ``axis=1`` aggregates right rows onto left ones, ``axis=0`` the other way.  Every
-target row is in the result.  Matches are ordered by (beginning, end, row id).  A null
+target row is in the result: targets are put beside their pairs, so one grouping does
+both, and no join back.  Matches are ordered by (beginning, end, row id).  A null
 among the matched values makes a sum or mean null.  A relation keeps no state: each
 call builds its own plan.
+
+Working columns begin with an underscore, and values are carried as ``_v_`` and their
+name, so that values can have any name but ``_rid``.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanway.errors import CompatibilityError
+from spanway.functions import lines
 from spanway.functions.weights import decay_weights, resolve_profile
-from spanway.plans.pairs import contains, overlaps, pair_join, point_join
+from spanway.plans.pairs import bin_width, contains, levels_of, overlaps, pair_join, point_join
 
 RID = "_rid"
 
@@ -48,17 +53,21 @@ class Relation:
         """(l_rid, r_rid) of all rows with equal keys."""
         a, b, keys = self.left.side(), self.right.side(), self.left.keys
         pick = lambda d, n: d.select(*keys, F.col(RID).alias(n))
-        return (pick(a, "l_rid").join(pick(b, "r_rid"), keys) if keys else pick(a, "l_rid").crossJoin(pick(b, "r_rid"))).select("l_rid", "r_rid")
+        if not keys:  # one group
+            a, b, keys = a.withColumn("_all", F.lit(0)), b.withColumn("_all", F.lit(0)), ["_all"]
+        return pick(a, "l_rid").join(pick(b, "r_rid"), keys).select("l_rid", "r_rid")
 
     def _pairs(self, values: dict[str, Sequence[str]], enforce_edges: bool = True) -> DataFrame:
         left, right, keys = self.left.side(values.get("l", ())), self.right.side(values.get("r", ())), self.left.keys
+        if not self.left.lrs.is_linear and not self.right.lrs.is_linear:
+            return point_join(left, right, keys)
         if self.left.lrs.is_linear and self.right.lrs.is_linear:
-            return pair_join(left, right, keys, overlaps(enforce_edges), self.width)
-        if self.left.lrs.is_linear:
-            return pair_join(left, right, keys, contains("r", "l"), self.width)
-        if self.right.lrs.is_linear:
-            return pair_join(left, right, keys, contains("l", "r"), self.width)
-        return point_join(left, right, keys)
+            condition = overlaps(enforce_edges)
+        else:
+            condition = contains("r", "l") if self.left.lrs.is_linear else contains("l", "r")
+        extents = [f.extent for f in (self.left, self.right)]
+        width = self.width or bin_width(*extents)
+        return pair_join(left, right, keys, condition, width, levels_of(width, *extents))
 
     def intersect(self, enforce_edges: bool = True, left: Sequence[str] = (), right: Sequence[str] = ()) -> DataFrame:
         """Pairs that meet: l_rid, r_rid and the asked columns with l_ and r_ in front."""
@@ -81,7 +90,7 @@ class Relation:
         return self._overlay(self._pairs({}, False), normalize, norm_by, profile).filter("w > 0").select("l_rid", "r_rid", "w")
 
     def _weighted(self, axis: int, values: Sequence[str], method: str | None = None, normalize: bool = True, profile=None, enforce_edges: bool = True) -> DataFrame:
-        """(t, s, w, order, values): target and source ids, weight, the source's place."""
+        """(_t, _s, _w, _o, _v_ and a value's name): target and source ids, weight, the source's place."""
         s, t = ("r", "l") if axis == 1 else ("l", "r")
         both = self.left.lrs.is_linear and self.right.lrs.is_linear
         method = method or ("overlay" if both else "intersect")
@@ -91,56 +100,57 @@ class Relation:
         else:
             pairs = pairs.withColumn("w", F.lit(1.0))
         order = F.struct(F.col(f"{s}_beg").alias("beg"), F.col(f"{s}_end").alias("end"), F.col(f"{s}_rid").alias("rid"))
-        return pairs.select(F.col(f"{t}_rid").alias("t"), F.col(f"{s}_rid").alias("s"), "w", order.alias("order"), *[F.col(f"{s}{_name(v)}").alias(v) for v in values])
+        return pairs.select(F.col(f"{t}_rid").alias("_t"), F.col(f"{s}_rid").alias("_s"), F.col("w").alias("_w"), order.alias("_o"), *[F.col(f"{s}{_name(v)}").alias(_name(v)) for v in values])
 
-    def _onto(self, axis: int, found: DataFrame, fill: dict | None = None) -> DataFrame:
-        target = (self.left if axis == 1 else self.right).df.select(RID)
-        out = target.join(found.withColumnRenamed("t", RID), RID, "left")
-        return out.na.fill(fill) if fill else out
+    def _onto(self, axis: int, pairs: DataFrame, **aggs: Column) -> DataFrame:
+        """Aggregates of the pairs of every target; a target's own row has no _s, _w, _o and no values."""
+        target = (self.left if axis == 1 else self.right).df.select(F.col(RID).alias("_t"))
+        rows = pairs.unionByName(target, allowMissingColumns=True)
+        return rows.groupBy(F.col("_t").alias(RID)).agg(*[c.alias(n) for n, c in aggs.items()])
 
     def count(self, axis: int = 1, enforce_edges: bool = True, name: str = "count") -> DataFrame:
-        found = self._weighted(axis, [], "intersect", enforce_edges=enforce_edges).groupBy("t").agg(F.count("*").alias(name))
-        return self._onto(axis, found, {name: 0})
+        pairs = self._weighted(axis, [], "intersect", enforce_edges=enforce_edges).select("_t", "_s")
+        return self._onto(axis, pairs, **{name: F.count("_s")})
 
-    def _listed(self, pairs: DataFrame, value: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct("order", F.col(value).alias("v")))), lambda x: x["v"])
+    def _listed(self, value: str) -> Column:
+        """The values of a target's matches in order."""
+        one = F.when(F.col("_s").isNotNull(), F.struct("_o", F.col(_name(value)).alias("v")))
+        return F.transform(F.array_sort(F.collect_list(one)), lambda x: x["v"])
 
-    def single(self, index: int, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
-        """The index-th match; counted from the end if negative."""
+    def _matched(self, axis: int, columns, enforce_edges: bool, agg) -> DataFrame:
         names = self._values(axis, columns)
         pairs = self._weighted(axis, names, "intersect", enforce_edges=enforce_edges)
+        return self._onto(axis, pairs, **{v: agg(v) for v in names})
+
+    def single(self, index: int, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
+        """The index-th match; counted from the end if negative."""
         place = F.lit(index + 1 if index >= 0 else index)
-        return self._onto(axis, pairs.groupBy("t").agg(*[F.try_element_at(self._listed(pairs, v), place).alias(v) for v in names]))
+        return self._matched(axis, columns, enforce_edges, lambda v: F.try_element_at(self._listed(v), place))
 
     def first(self, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
-        names = self._values(axis, columns)
-        pairs = self._weighted(axis, names, "intersect", enforce_edges=enforce_edges)
-        return self._onto(axis, pairs.groupBy("t").agg(*[F.min_by(F.col(v), F.col("order")).alias(v) for v in names]))
+        return self._matched(axis, columns, enforce_edges, lambda v: F.min_by(F.col(_name(v)), F.col("_o")))
 
     def last(self, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
-        names = self._values(axis, columns)
-        pairs = self._weighted(axis, names, "intersect", enforce_edges=enforce_edges)
-        return self._onto(axis, pairs.groupBy("t").agg(*[F.max_by(F.col(v), F.col("order")).alias(v) for v in names]))
+        return self._matched(axis, columns, enforce_edges, lambda v: F.max_by(F.col(_name(v)), F.col("_o")))
 
     def list(self, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
-        names = self._values(axis, columns)
-        pairs = self._weighted(axis, names, "intersect", enforce_edges=enforce_edges)
-        out = self._onto(axis, pairs.groupBy("t").agg(*[self._listed(pairs, v).alias(v) for v in names]))
-        return out.select(RID, *[F.coalesce(v, F.array().cast(out.schema[v].dataType)).alias(v) for v in names])
+        return self._matched(axis, columns, enforce_edges, self._listed)
 
     def set(self, columns=None, axis: int = 1, enforce_edges: bool = True) -> DataFrame:
-        names = self._values(axis, columns)
-        pairs = self._weighted(axis, names, "intersect", enforce_edges=enforce_edges)
-        out = self._onto(axis, pairs.groupBy("t").agg(*[F.array_sort(F.collect_set(v)).alias(v) for v in names]))
-        return out.select(RID, *[F.coalesce(v, F.array().cast(out.schema[v].dataType)).alias(v) for v in names])
+        return self._matched(axis, columns, enforce_edges, lambda v: F.array_sort(F.collect_set(_name(v))))
 
     def value_counts(self, column: str | None = None, values: Sequence | None = None, axis: int = 1) -> DataFrame:
         """A column for each value, 0 where it isn't matched.  Given ``values`` no job
-        is needed to find them."""
+        is needed to find them; else they are the source's values, matched or not."""
         name = self._values(axis, column)[0]
+        if values is None:
+            source = (self.right if axis == 1 else self.left).df
+            found = [r[0] for r in source.select(F.col(name).alias("v")).distinct().limit(10_001).collect()]
+            if len(found) > 10_000:
+                raise ValueError(f"{name} has more than 10,000 values; name those wanted")
+            values = sorted((v for v in found if v is not None), key=lambda v: (str(type(v)), v))
         pairs = self._weighted(axis, [name], "intersect")
-        out = self._onto(axis, pairs.groupBy("t").pivot(name, [*values] if values else None).agg(F.count(F.lit(1))))
-        return out.na.fill(0)
+        return self._onto(axis, pairs, **{str(v): F.count_if(F.col(_name(name)) == F.lit(v)) for v in values})
 
     def sum(self, columns=None, axis: int = 1, method: str | None = None, conserve: bool = False, normalize: bool = True, profile=None) -> DataFrame:
         """Sum of weight times value; without columns, of the weights (``sum``).  With
@@ -148,24 +158,23 @@ class Relation:
         names = self._values(axis, columns)
         pairs = self._weighted(axis, names, method, normalize, profile)
         if conserve:
-            pairs = pairs.withColumn("w", F.coalesce(F.try_divide("w", F.sum("w").over(Window.partitionBy("s"))), F.lit(0.0)))
-        guard = lambda v: F.when(~F.bool_or(F.col(v).isNull()), F.sum(F.col("w") * F.col(v)))
-        aggs = [guard(v).alias(v) for v in names] or [F.sum("w").alias("sum")]
-        out = self._onto(axis, pairs.groupBy("t").agg(*aggs, F.count("*").alias("_n")))
-        return out.select(RID, *[F.when(F.col("_n").isNull(), 0.0).otherwise(F.col(v)).alias(v) for v in (names or ["sum"])])
+            pairs = pairs.withColumn("_w", F.coalesce(F.try_divide("_w", F.sum("_w").over(Window.partitionBy("_s"))), F.lit(0.0)))
+        if not names:
+            return self._onto(axis, pairs, sum=F.coalesce(F.sum("_w"), F.lit(0.0)))
+        return self._onto(axis, pairs, **{v: F.when(F.count("_s") == 0, 0.0).otherwise(_known(v, F.sum(F.col("_w") * F.col(_name(v))))) for v in names})
 
     def mean(self, columns=None, axis: int = 1, method: str | None = None, normalize: bool = True, profile=None) -> DataFrame:
         names = self._values(axis, columns)
         pairs = self._weighted(axis, names, method, normalize, profile)
-        guard = lambda v: F.when(~F.bool_or(F.col(v).isNull()), F.try_divide(F.sum(F.col("w") * F.col(v)), F.sum("w")))
-        return self._onto(axis, pairs.groupBy("t").agg(*[guard(v).alias(v) for v in names]))
+        return self._onto(axis, pairs, **{v: _known(v, F.try_divide(F.sum(F.col("_w") * F.col(_name(v))), F.sum("_w"))) for v in names})
 
     def mode(self, column: str | None = None, axis: int = 1, method: str | None = None, normalize: bool = True) -> DataFrame:
         """The value of the greatest weight; ties to the smallest value."""
         name = self._values(axis, column)[0]
-        sums = self._weighted(axis, [name], method, normalize).groupBy("t", name).agg(F.sum("w").alias("w"))
+        value = F.col(_name(name))
+        sums = self._weighted(axis, [name], method, normalize).groupBy("_t", value).agg(F.sum("_w").alias("_w"))
         # of equal weights the least value: min_by over (-w, value)
-        return self._onto(axis, sums.groupBy("t").agg(F.min_by(F.col(name), F.struct(-F.col("w"), F.col(name))).alias(name)))
+        return self._onto(axis, sums, **{name: F.min_by(value, F.when(F.col("_w").isNotNull(), F.struct(-F.col("_w"), value)))})
 
     def distribute(self, columns=None, method: str | None = None, decay="linear", size: int = 1, direction: str = "both", length_normalize: bool = True) -> DataFrame:
         """Each source's value is shared by the targets it meets and, weakened by step,
@@ -173,22 +182,68 @@ class Relation:
         gives to earlier rows, ``backward`` to later ones."""
         names = self._values(1, columns)
         weights = decay_weights(decay, size)
-        pairs = self._weighted(1, names, method, False)
-        keys = self.left.keys
-        order = Window.partitionBy(*keys).orderBy("_beg", "_end", RID)
-        rows = self.left.side().select(*keys, RID, (F.col("_end") - F.col("_beg")).alias("len"), F.row_number().over(order).alias("pos"))
+        pairs = self._weighted(1, names, method, False).drop("_o")
+        keys = [f"_k_{k}" for k in self.left.keys]
+        order = Window.partitionBy(*self.left.keys).orderBy("_beg", "_end", RID)
+        rows = self.left.side().select(*[F.col(k).alias(n) for k, n in zip(self.left.keys, keys, strict=True)], RID, (F.col("_end") - F.col("_beg")).alias("_len"), F.row_number().over(order).alias("_pos"))
         steps = [(0, 1.0)]
         for k, w in enumerate(weights[1:], 1):
             steps += [(-k, w)] * (direction in ("forward", "both")) + [(k, w)] * (direction in ("backward", "both"))
         table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("f")) for k, w in steps])
-        at = pairs.join(rows.withColumnRenamed(RID, "t"), "t").withColumn("_step", F.explode(table))
-        at = at.select(*keys, "s", (F.col("pos") + F.col("_step.k")).alias("pos"), (F.col("w") * F.col("_step.f")).alias("w"), *names)
-        met = at.join(rows.select(*keys, "pos", RID, "len"), [*keys, "pos"])
-        met = met.withColumn("w", F.col("w") * F.col("len")) if length_normalize else met
-        shares = met.groupBy(F.col(RID).alias("t"), "s").agg(F.sum("w").alias("w"), *[F.first(v).alias(v) for v in names])
-        shares = shares.withColumn("w", F.coalesce(F.try_divide("w", F.sum("w").over(Window.partitionBy("s"))), F.lit(0.0)))
-        aggs = [F.sum(F.col("w") * F.col(v)).alias(v) for v in names] or [F.sum("w").alias("sum")]
-        return self._onto(1, shares.groupBy("t").agg(*aggs), {v: 0.0 for v in (names or ["sum"])})
+        carried = [_name(v) for v in names]
+        at = pairs.join(rows.withColumnRenamed(RID, "_t"), "_t").withColumn("_step", F.explode(table))
+        at = at.select(*keys, "_s", (F.col("_pos") + F.col("_step.k")).alias("_pos"), (F.col("_w") * F.col("_step.f")).alias("_w"), *carried)
+        met = at.join(rows.select(*keys, "_pos", RID, "_len"), [*keys, "_pos"])
+        met = met.withColumn("_w", F.col("_w") * F.col("_len")) if length_normalize else met
+        shares = met.groupBy(F.col(RID).alias("_t"), "_s").agg(F.sum("_w").alias("_w"), *[F.first(v).alias(v) for v in carried])
+        shares = shares.withColumn("_w", F.coalesce(F.try_divide("_w", F.sum("_w").over(Window.partitionBy("_s"))), F.lit(0.0)))
+        share = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        return self._onto(1, shares, **({v: share(F.col("_w") * F.col(_name(v))) for v in names} or {"sum": share(F.col("_w"))}))
+
+    def _lines_under(self, columns, axis: int, multiple: str, enforce_edges: bool) -> tuple[str, DataFrame]:
+        """(the lines' column, _rid and _lines: of each target the matched lines in order, one or all)."""
+        if multiple not in ("first", "last", "raise", "merge", "list"):
+            raise ValueError("multiple: first, last, raise, merge, list")
+        source = self.right if axis == 1 else self.left
+        name = (self._values(axis, columns) or [source.lrs.geom_m_col])[0]
+        found = self._matched(axis, [name], enforce_edges, self._listed).withColumnRenamed(name, "_lines")
+        if multiple == "raise":
+            found = found.withColumn("_lines", F.when(F.size("_lines") > 1, F.raise_error(F.lit("several lines meet one event"))).otherwise(F.col("_lines")))
+        if multiple in ("first", "raise"):
+            found = found.withColumn("_lines", F.slice("_lines", 1, 1))
+        if multiple == "last":
+            found = found.withColumn("_lines", F.slice("_lines", -1, 1))
+        return name, found
+
+    def interpolate(self, columns=None, axis: int = 1, multiple: str = "first", name: str = "point") -> DataFrame:
+        """(_rid, point): where a point event lies on the line that holds it; ``multiple``
+        is first, last, raise, or list for points on all lines."""
+        target, source = (self.left, self.right) if axis == 1 else (self.right, self.left)
+        if target.lrs.is_linear or not source.lrs.is_linear or multiple == "merge":
+            raise ValueError("points are interpolated on lines, and don't merge")
+        _, found = self._lines_under(columns, axis, multiple, True)
+        rows = target.df.select(RID, F.col(target.lrs.loc_col).cast("double").alias("_loc"))
+        made = F.transform("_lines", lambda g: lines.point_at_m(g, F.col("_loc")))
+        return found.join(rows, RID).select(RID, (made if multiple == "list" else F.get(made, F.lit(0))).alias(name))
+
+    def cut(self, columns=None, axis: int = 1, multiple: str = "first", name: str = "geom_m") -> DataFrame:
+        """(_rid, geom_m): the part of the overlapping line under an event; ``multiple`` is
+        first, last, raise, list for the parts of all lines, or merge for one line of
+        them, which must follow one another."""
+        target, source = (self.left, self.right) if axis == 1 else (self.right, self.left)
+        if not (target.lrs.is_linear and source.lrs.is_linear):
+            raise ValueError("only intervals are cut from lines")
+        _, found = self._lines_under(columns, axis, multiple, False)
+        rows = target.df.select(RID, F.col(target.lrs.beg_col).cast("double").alias("_b"), F.col(target.lrs.end_col).cast("double").alias("_e"))
+        made = F.transform("_lines", lambda g: lines.cut(g, F.col("_b"), F.col("_e")))
+        if multiple == "merge":
+            made = lines.merge(made)
+        return found.join(rows, RID).select(RID, (made if multiple in ("list", "merge") else F.get(made, F.lit(0))).alias(name))
+
+    def line_merge_m(self, columns=None, axis: int = 1, name: str = "geom_m") -> DataFrame:
+        """(_rid, geom_m): all overlapping lines of an event as one; they must follow one another."""
+        _, found = self._lines_under(columns, axis, "list", False)
+        return found.select(RID, lines.merge(F.col("_lines")).alias(name))
 
     def components(self) -> DataFrame:
         """(_rid, label): connected components of a table related to itself; a label is a row's id."""
@@ -197,5 +252,10 @@ class Relation:
         return label_components(self.left.df.select(RID), self._pairs({}, True).select(F.col("l_rid").alias("a"), F.col("r_rid").alias("b")))
 
 
+def _known(column: str, value: Column) -> Column:
+    """The value, or null where a matched one is null."""
+    return F.when(~F.coalesce(F.bool_or(F.when(F.col("_s").isNotNull(), F.col(_name(column)).isNull())), F.lit(False)), value)
+
+
 def _name(column: str) -> str:
     return f"_v_{column}"

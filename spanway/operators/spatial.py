@@ -29,8 +29,19 @@ def _segments(df: DataFrame, geom: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _cells(df: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - margin) / size), F.floor((F.greatest(a, b) + margin) / size))
-    return df.withColumn("_cx", F.explode(span("ax", "bx"))).withColumn("_cy", F.explode(span("ay", "by")))
+    """Segments by the cells that they may touch: a long one is taken in parts of a cell's
+    size, so it meets cells in proportion to its length, diagonal or not.  A segment can
+    come to a cell twice."""
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / size))
+    own = df.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    at = lambda k, n: F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * n / F.col("_parts")
+    slack = margin + size * 1e-9
+
+    def span(k: str):
+        one, two = at(k, F.col("_part")), at(k, F.col("_part") + 1)
+        return F.sequence(F.floor((F.least(one, two) - slack) / size), F.floor((F.greatest(one, two) + slack) / size))
+
+    return own.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y"))).drop("_parts", "_part")
 
 
 def _meet(l: str, r: str) -> tuple[Column, Column, Column]:  # noqa: E741
@@ -73,69 +84,164 @@ def _crossings(frame, exclude_groups: bool, size: float | None) -> DataFrame:
     return pairs.select(F.col("l__rid").alias("l_rid"), F.col("r__rid").alias("r_rid"), at("x").alias("x"), at("y").alias("y"), (~end("l", "_t") & ~end("r", "_u")).alias("inner")).distinct()
 
 
+def _kept(found: DataFrame, touches: bool, crosses: bool) -> Column:
+    """Is a place of lines that cross, or only touch, one of those asked for?"""
+    return (F.col("crosses") & F.lit(crosses)) | (~F.col("crosses") & F.lit(touches))
+
+
 def intersection_pairs(frame, exclude_groups: bool = True, touches: bool = True, crosses: bool = True, size: float | None = None) -> DataFrame:
-    """(l_rid, r_rid) of lines that touch (at an end of one) or cross."""
+    """(l_rid, r_rid, crosses) of lines that touch (at an end of one) or cross."""
     kinds = _crossings(frame, exclude_groups, size).groupBy("l_rid", "r_rid").agg(F.bool_or("inner").alias("crosses"))
-    return kinds.filter((F.col("crosses") & F.lit(crosses)) | (~F.col("crosses") & F.lit(touches)))
+    return kinds.filter(_kept(kinds, touches, crosses))
 
 
 def intersection_nodes(frame, exclude_groups: bool = True, touches: bool = True, crosses: bool = True, size: float | None = None) -> DataFrame:
     """(x, y, rids): the places where such lines meet, with the lines' ids in order."""
     found = _crossings(frame, exclude_groups, size)
-    pairs = intersection_pairs(frame, exclude_groups, touches, crosses, size).select("l_rid", "r_rid")
-    found = found.join(pairs, ["l_rid", "r_rid"], "left_semi")
-    return found.select("x", "y", F.explode(F.array("l_rid", "r_rid")).alias("r")).groupBy("x", "y").agg(F.array_sort(F.collect_set("r")).alias("rids"))
-
-
-def project(points: DataFrame, x: str, y: str, frame, buffer: float = 100.0, nearest: bool = True) -> DataFrame:
-    """The points' columns with line_rid, loc (measure on the line) and distance: the
-    nearest line within ``buffer`` (ties to the least id), or all of them."""
-    segs = _cells(_segments(frame.df, frame.lrs.geom_m_col), buffer, buffer).withColumnRenamed(RID, "line_rid")
+    # the kind of a pair by its rows' own window, so that crossings are found once
+    kinds = found.withColumn("crosses", F.bool_or("inner").over(Window.partitionBy("l_rid", "r_rid")))
+    kinds = kinds.filter(_kept(kinds, touches, crosses))
+    return kinds.select("x", "y", F.explode(F.array("l_rid", "r_rid")).alias("r")).groupBy("x", "y").agg(F.array_sort(F.collect_set("r")).alias("rids"))
+
+
+def generate_intersections(frame, exclude_groups: bool = True, touches: bool = True, crosses: bool = True, project_nodes: bool = True, expand: bool = True, tolerance: float = 1e-9, size: float | None = None) -> DataFrame:
+    """(x, y, rids) of the places where lines meet; projected, with the keys, the measure
+    ``loc`` and the distance on the dissolved lines: a row for each coincident dissolved
+    line, or the nearest alone without ``expand``."""
+    nodes = intersection_nodes(frame, exclude_groups, touches, crosses, size)
+    if not project_nodes:
+        return nodes
+    whole = frame._with(frame.df, frame.lrs.set_params(geom_col=None)).dissolve(index_col=None)
+    if size is None:  # as a cell, the length of a line's part
+        mean = _segments(frame.df, frame.lrs.geom_m_col).agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
+        size = max(mean or 1.0, tolerance)
+    own = nodes.withColumn(RID, F.struct("x", "y"))
+    placed = project(own, "x", "y", whole, tolerance, nearest=not expand, cell=size, dropna=True).drop(RID)
+    return placed.join(whole.df.select(F.col(RID).alias("line_rid"), *frame.keys), "line_rid").select(*frame.keys, "loc", "distance", "x", "y", "rids")
+
+
+def project(points: DataFrame, x: str, y: str, frame, buffer: float = 100.0, nearest: bool = True, dropna: bool = False, distance_col: str = "distance", loc_col: str = "loc", replace: bool = False, cell: float | None = None) -> DataFrame:
+    """The points' columns with line_rid, the measure on the line and the distance: the
+    nearest line within ``buffer`` (ties to the least id), or all of them.  Points without
+    a line have nulls, or go with ``dropna``; columns of these names are an error, or
+    replaced.  Lines meet points by cells of ``cell`` (else the buffer)."""
+    made = ("line_rid", loc_col, distance_col)
+    if there := [c for c in made if c in points.columns]:
+        if not replace:
+            raise ValueError(f"{there} are there already")
+        points = points.drop(*there)
+    cell = max(cell or buffer, 1e-12)
+    segs = _cells(_segments(frame.df, frame.lrs.geom_m_col), cell, buffer).withColumnRenamed(RID, "_line")
     own = points.withColumn("_p", F.monotonically_increasing_id()) if RID not in points.columns else points.withColumn("_p", F.col(RID))
-    own = own.withColumn("_cx", F.floor(F.col(x) / buffer)).withColumn("_cy", F.floor(F.col(y) / buffer))
-    near = own.select("_p", F.col(x).alias("_x"), F.col(y).alias("_y"), "_cx", "_cy").join(segs, ["_cx", "_cy"])
+    spots = own.select("_p", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    spots = spots.withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell))
+    near = spots.join(segs, ["_cx", "_cy"])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = F.coalesce(F.try_divide((F.col("_x") - F.col("ax")) * dx + (F.col("_y") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
     near = near.withColumn("_t", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
     px, py = F.col("ax") + F.col("_t") * dx, F.col("ay") + F.col("_t") * dy
-    near = near.withColumn("distance", F.sqrt((F.col("_x") - px) * (F.col("_x") - px) + (F.col("_y") - py) * (F.col("_y") - py))).filter(F.col("distance") <= buffer)
-    near = near.withColumn("loc", F.col("am") + F.col("_t") * (F.col("bm") - F.col("am")))
-    group = ["_p"] if nearest else ["_p", "line_rid"]
-    best = near.groupBy(*group).agg(F.min(F.struct("distance", "line_rid", "_i", "loc")).alias("m")).select("_p", "m.line_rid", "m.loc", "m.distance")
-    return own.drop("_cx", "_cy").join(best, "_p", "left").drop("_p")
-
-
-def _inside(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd rule; the ring is a literal of the caller's."""
-    edges = F.array(*[F.struct(F.lit(float(a[0])).alias("ax"), F.lit(float(a[1])).alias("ay"), F.lit(float(b[0])).alias("bx"), F.lit(float(b[1])).alias("by")) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)])
-    hit = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + F.try_divide((y - e["ay"]) * (e["bx"] - e["ax"]), e["by"] - e["ay"]))
-    return F.size(F.filter(edges, hit)) % 2 == 1
-
-
-def split(frame, ring: Sequence[tuple[float, float]]):
-    """Events cut where their measured line crosses the ring's edges."""
+    near = near.withColumn("_d", F.sqrt((F.col("_x") - px) * (F.col("_x") - px) + (F.col("_y") - py) * (F.col("_y") - py))).filter(F.col("_d") <= buffer)
+    near = near.withColumn("_loc", F.col("am") + F.col("_t") * (F.col("bm") - F.col("am")))
+    group = ["_p"] if nearest else ["_p", "_line"]
+    best = near.groupBy(*group).agg(F.min(F.struct("_d", "_line", "_i", "_loc")).alias("_m"))
+    best = best.select("_p", F.col("_m._line").alias(made[0]), F.col("_m._loc").alias(made[1]), F.col("_m._d").alias(made[2]))
+    return own.join(best, "_p", "inner" if dropna else "left").drop("_p")
+
+
+def mask_parts(mask) -> tuple[list, list, list]:
+    """(rings of polygons, lines, points) of a mask: a GeoJSON-like geometry, a list of
+    them, or a single ring as a list of (x, y)."""
+    if isinstance(mask, dict):
+        kind, c = mask.get("type"), mask.get("coordinates")
+        if kind == "Feature":
+            return mask_parts(mask["geometry"])
+        if kind in ("GeometryCollection", "FeatureCollection"):
+            return mask_parts(mask.get("geometries") or mask.get("features"))
+        rings = {"Polygon": lambda: list(c), "MultiPolygon": lambda: [r for p in c for r in p]}
+        rows = {"LineString": lambda: [c], "MultiLineString": lambda: list(c)}
+        spots = {"Point": lambda: [c], "MultiPoint": lambda: list(c)}
+        if kind not in {*rings, *rows, *spots}:
+            raise TypeError(f"a mask can't be {kind!r}")
+        return tuple([tuple(map(float, p[:2])) for p in part] if name == "spots" else [[tuple(map(float, p[:2])) for p in one] for one in part] for name, part in (("rings", rings.get(kind, list)()), ("rows", rows.get(kind, list)()), ("spots", spots.get(kind, list)())))
+    if not isinstance(mask, (list, tuple)) or not mask:
+        raise TypeError("a mask is a geometry, a list of geometries, or a ring")
+    if not isinstance(mask[0], dict):
+        return [[tuple(map(float, p[:2])) for p in mask]], [], []
+    parts = [mask_parts(m) for m in mask]
+    return tuple([x for p in parts for x in p[i]] for i in range(3))
+
+
+def _edges(mask) -> list[tuple[float, float, float, float]]:
+    """All sides of the mask; a point is a side of no length."""
+    rings, rows, spots = mask_parts(mask)
+    closed = [[*r, r[0]] if r[0] != r[-1] else r for r in rings if r]
+    sides = [(*p, *q) for line in [*closed, *rows] for p, q in zip(line[:-1], line[1:], strict=True)]
+    return sides + [(*p, *p) for p in spots]
+
+
+def split(frame, mask, cut_geom: bool = True, size: float | None = None):
+    """Events cut where their measured line meets the mask: sides of polygons (holes and
+    all), lines, or points on it.  Sides and lines meet by grid cells."""
     g, b, e = frame.lrs.geom_m_col, frame.lrs.beg_col, frame.lrs.end_col
-    segs = _segments(frame.df, g).withColumnsRenamed({c: f"l_{c}" for c in ("ax", "ay", "bx", "by", "am", "bm")})
-    edges = F.array(*[F.struct(F.lit(float(p[0])).alias("ax"), F.lit(float(p[1])).alias("ay"), F.lit(float(q[0])).alias("bx"), F.lit(float(q[1])).alias("by")) for p, q in zip(ring, [*ring[1:], ring[0]], strict=True)])
-    met = segs.withColumn("_e", F.explode(edges)).select("*", *[F.col(f"_e.{c}").alias(f"r_{c}") for c in ("ax", "ay", "bx", "by")])
+    sides = _edges(mask)
+    segs = _segments(frame.df, g)
+    if size is None:
+        size = segs.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 1.0
+    edges = frame.df.sparkSession.createDataFrame(sides, "ax double, ay double, bx double, by double")
+    own = _cells(segs, size).withColumnsRenamed({c: f"l_{c}" for c in ("ax", "ay", "bx", "by", "am", "bm")})
+    met = own.join(_cells(edges, size).withColumnsRenamed({c: f"r_{c}" for c in ("ax", "ay", "bx", "by")}), ["_cx", "_cy"])
     t, _, meets = _meet("l_", "r_")
-    cuts = met.filter(meets).select(RID, F.round(F.col("l_am") + t * (F.col("l_bm") - F.col("l_am")), 9).alias("m")).groupBy(RID).agg(F.array_sort(F.collect_set("m")).alias("_cuts"))
+    # a point of the mask, and the ends of sides that lie along a segment, by projection
+    dx, dy = F.col("l_bx") - F.col("l_ax"), F.col("l_by") - F.col("l_ay")
+    norm = F.sqrt(dx * dx + dy * dy)
+
+    def on(k: str) -> Column:
+        ox, oy = F.col(f"r_{k}x") - F.col("l_ax"), F.col(f"r_{k}y") - F.col("l_ay")
+        share = F.try_divide(ox * dx + oy * dy, norm * norm)
+        return F.when((F.abs(ox * dy - oy * dx) <= 1e-9 * F.greatest(norm, F.lit(1.0))) & share.between(0, 1), share)
+
+    places = F.array_compact(F.array(F.when(meets, t), on("a"), on("b")))
+    measure = lambda u: F.round(F.col("l_am") + u * (F.col("l_bm") - F.col("l_am")), 9)
+    cuts = met.select(RID, F.explode(places).alias("_u"), "l_am", "l_bm").select(RID, measure(F.col("_u")).alias("m")).groupBy(RID).agg(F.array_sort(F.collect_set("m")).alias("_cuts"))
     df = frame.df.join(cuts, RID, "left")
     inner = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda m: (m > F.col(b)) & (m < F.col(e)))
     stops = F.concat(F.array(F.col(b).cast("double")), inner, F.array(F.col(e).cast("double")))
     df = df.withColumn("_stops", stops).withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_stops") - 2)))
-    df = df.withColumns({b: F.get("_stops", F.col("_k")), e: F.get("_stops", F.col("_k") + 1), "split_index": F.col(RID), RID: F.struct(F.col(RID).alias("row"), F.col("_k").alias("piece"))})
-    return frame._with(df.withColumn(g, lines.cut(F.col(g), F.col(b), F.col(e))).drop("_stops", "_k", "_cuts"))
+    df = df.withColumns({b: F.get("_stops", F.col("_k")), e: F.get("_stops", F.col("_k") + 1), "split_index": F.col(RID), RID: F.struct(F.col(RID).alias("row"), F.col("_k").alias("piece"))}).drop("_stops", "_k", "_cuts")
+    return frame._with(df.withColumn(g, lines.cut(F.col(g), F.col(b), F.col(e))) if cut_geom else df.drop(frame.lrs.geom_col or ""))
+
+
+def _inside(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]], boundary: bool) -> Column:
+    """Even-odd rule over all rings, so holes are outside; a point of a side counts as ``boundary`` says."""
+    sides = [(*p, *q) for r in rings for p, q in zip(r, [*r[1:], r[0]], strict=True)]
+    edges = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(s, ("ax", "ay", "bx", "by"), strict=True)]) for s in sides])
+    hit = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + F.try_divide((y - e["ay"]) * (e["bx"] - e["ax"]), e["by"] - e["ay"]))
+
+    def along(e):
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        between = x.between(F.least(e["ax"], e["bx"]) - 1e-9, F.greatest(e["ax"], e["bx"]) + 1e-9) & y.between(F.least(e["ay"], e["by"]) - 1e-9, F.greatest(e["ay"], e["by"]) + 1e-9)
+        return between & (F.abs((x - e["ax"]) * dy - (y - e["ay"]) * dx) <= 1e-9 * F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1.0)))
+
+    return F.when(F.exists(edges, along), F.lit(boundary)).otherwise(F.size(F.filter(edges, hit)) % 2 == 1)
 
 
-def clip(frame, ring: Sequence[tuple[float, float]], keep: str = "inside"):
-    """The parts of events inside or outside the ring, by the middle of each part."""
+def clip(frame, mask, keep: str = "inside", predicate: str = "covered_by", cut_geom: bool = True, size: float | None = None):
+    """The parts of events inside or outside polygons, by the middle of each part; parts along
+    a side are inside for ``covered_by`` and outside for ``within``.  Polygons of a list
+    mustn't overlap."""
     if keep not in ("inside", "outside"):
         raise ValueError("keep is inside or outside")
-    parts = split(frame, ring)
+    if predicate not in ("covered_by", "within"):
+        raise ValueError("predicate: covered_by, within")
+    rings, rows, spots = mask_parts(mask)
+    if rows or spots or not rings:
+        raise TypeError("events are clipped by polygons")
+    rings = [r[:-1] if r[0] == r[-1] else r for r in rings]
+    parts = split(frame, mask, True, size)
     mid = lines.point_at_m(F.col(frame.lrs.geom_m_col), (F.col(frame.lrs.beg_col) + F.col(frame.lrs.end_col)) / 2)
-    inside = lines.let(mid, lambda p: _inside(p["x"], p["y"], ring))
-    return parts._with(parts.df.filter(inside if keep == "inside" else ~inside))
+    inside = lines.let(mid, lambda p: _inside(p["x"], p["y"], rings, predicate == "covered_by"))
+    out = parts.df.filter(inside if keep == "inside" else ~inside)
+    return parts._with(out if cut_geom else out.drop(frame.lrs.geom_m_col))
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray, step: float | None = None) -> float:

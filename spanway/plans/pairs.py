@@ -1,30 +1,47 @@
 """The keyed interval join.
 
-Rows meet by key and bin: an interval is repeated for each bin of the axis that it
-touches, and a pair is kept only in the later of the two first bins, so it is found
-exactly once.  Work is in proportion to rows and pairs, not to the square of a key's
-rows, and a hot key is spread over its bins.  An interval that touches more than
-``MANY`` bins isn't repeated: such rows meet the others by key alone, in a join of
-their own that exists only if there are any.
+Rows meet by key, level and bin.  A level's bins are ``STEP`` times as wide as those of
+the level below; a row belongs to the lowest level at which it touches at most about
+``STEP`` bins, and is repeated for its bins at its own and at all higher levels that the
+two tables have.  A pair is kept at the higher of its two levels, in the later of its
+two first bins there, so it is found exactly once.  Work is in proportion to rows and
+pairs, not to the square of a key's rows; a hot key is spread over its bins; no row, however
+long, is repeated more than ``STEP`` times a level, and tables without long rows have one
+level.  Rows with an infinite end are a level of their own, with one bin.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MANY = 256
+STEP = 16
+LEVELS = 12
+
+
+def extent(side: DataFrame) -> tuple[float, float, float]:
+    """(mean length, greatest length, length of the axis) of normalised rows, of finite ends."""
+    size = F.col("_end") - F.col("_beg")
+    finite = F.abs(size) < F.lit(float("inf"))
+    r = side.agg(F.avg(F.when(finite, size)), F.max(size), F.max(F.when(finite, F.col("_end"))) - F.min(F.when(finite, F.col("_beg")))).first()
+    return r[0] or 0.0, r[1] or 0.0, r[2] or 0.0
+
+
+def bin_width(*extents: tuple[float, float, float]) -> float:
+    return max(max(e[0] for e in extents), max(e[2] for e in extents) / 4096) or 1.0
 
 
-def bin_width(*sides: DataFrame) -> tuple[float, bool]:
-    """(width of a bin, whether any row touches too many), from one aggregate of each side."""
-    most, mean = 0.0, 0.0
-    for side in sides:
-        r = side.agg(F.avg(F.col("_end") - F.col("_beg")), F.max(F.col("_end") - F.col("_beg")), F.count("*"), F.max("_end") - F.min("_beg")).first()
-        mean = max(mean, r[0] or 0.0, (r[3] or 0.0) / 4096)
-        most = max(most, r[1] or 0.0)
-    width = mean or 1.0
-    return width, most / width > MANY - 2
+def levels_of(width: float, *extents: tuple[float, float, float]) -> int:
+    """How many levels above the lowest the longest row needs."""
+    longest = max(e[1] for e in extents)
+    if not math.isfinite(longest):
+        return LEVELS
+    n = 0
+    while longest > width * STEP ** (n + 1) and n < LEVELS:
+        n += 1
+    return n
 
 
 def overlaps(enforce_edges: bool) -> Column:
@@ -46,33 +63,35 @@ def _side(df: DataFrame, mark: str, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{mark}{c}") for c in df.columns])
 
 
-def pair_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, width: float | None = None) -> DataFrame:
+def _binned(side: DataFrame, mark: str, width: float, levels: int) -> DataFrame:
+    """Rows by (_level, _bin), with {mark}_level and the first bin {mark}_bin there."""
+    beg, end = F.col(f"{mark}_beg"), F.col(f"{mark}_end")
+    own = side.filter(beg <= end)
+    if not levels:
+        first = F.floor(beg / width)
+        own = own.withColumn(f"{mark}_bin", first)
+        return own.withColumn("_bin", F.explode(F.sequence(first, F.floor(end / width))))
+    size = end - beg
+    level = F.lit(levels)
+    for n in range(levels - 1, -1, -1):
+        level = F.when(size <= width * STEP ** (n + 1), n).otherwise(level)
+    own = own.withColumn(f"{mark}_level", level).withColumn("_level", F.explode(F.sequence(f"{mark}_level", F.lit(levels))))
+    at = lambda c: F.floor(c / (F.lit(width) * F.pow(F.lit(float(STEP)), F.col("_level"))))
+    last = F.col("_level") == LEVELS  # one bin for all that is there
+    first = F.when(last, F.lit(0).cast("long")).otherwise(at(beg))
+    own = own.withColumn(f"{mark}_bin", first)
+    return own.withColumn("_bin", F.explode(F.sequence(F.col(f"{mark}_bin"), F.when(last, F.lit(0).cast("long")).otherwise(at(end)))))
+
+
+def pair_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, width: float, levels: int = 0) -> DataFrame:
     """Pairs of normalised rows (keys, _beg, _end, _bc, _ec and more) with l_ and r_
     in front of their columns, that meet by key and ``condition``."""
-    many = False
-    if width is None:
-        width, many = bin_width(left, right)
-    first = lambda c: F.floor(F.col(c) / width)
-
-    def binned(side: DataFrame, mark: str) -> DataFrame:
-        own = _side(side, mark, keys).filter(F.col(f"{mark}_beg") <= F.col(f"{mark}_end"))
-        return own.withColumn(f"{mark}_bin", first(f"{mark}_beg")).withColumn(f"{mark}_last", first(f"{mark}_end"))
-
-    lefts, rights = binned(left, "l"), binned(right, "r")
-
-    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        a = a.withColumn("_bin", F.explode(F.sequence("l_bin", "l_last")))
-        b = b.withColumn("_bin", F.explode(F.sequence("r_bin", "r_last")))
-        return a.join(b, [*keys, "_bin"]).filter((F.col("_bin") == F.greatest("l_bin", "r_bin")) & condition).drop("_bin")
-
-    if not many:
-        out = meet(lefts, rights)
-    else:
-        long = lambda m: F.col(f"{m}_last") - F.col(f"{m}_bin") >= MANY
-        by_key = lambda a, b: (a.join(b, keys) if keys else a.crossJoin(b)).filter(condition)
-        out = meet(lefts.filter(~long("l")), rights.filter(~long("r")))
-        out = out.unionByName(by_key(lefts.filter(long("l")), rights)).unionByName(by_key(lefts.filter(~long("l")), rights.filter(long("r"))))
-    return out.drop("l_bin", "l_last", "r_bin", "r_last")
+    a, b = (_binned(_side(df, m, keys), m, width, levels) for df, m in ((left, "l"), (right, "r")))
+    by = [*keys, "_bin", *(["_level"] if levels else [])]
+    met = a.join(b, by).filter((F.col("_bin") == F.greatest("l_bin", "r_bin")) & condition)
+    if levels:
+        met = met.filter(F.col("_level") == F.greatest("l_level", "r_level")).drop("l_level", "r_level")
+    return met.drop("_bin", "_level", "l_bin", "r_bin")
 
 
 def point_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ RID = "_rid"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-FX = """WITH fx_lin AS (
+FX = """WITH RECURSIVE fx_lin AS (
   SELECT *, route * 1000000000 + rid AS gid FROM (SELECT l_suppkey AS route,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS beg_m,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) + l_quantity AS end_m,
@@ -178,6 +178,32 @@ _distribute("distribute_linear", "linear", [2 / 3, 1 / 3])
 _distribute("distribute_gaussian", "gaussian", [0.32465246735834974, 0.011108996538242306])
 
 
+_distribute("distribute_exponential", "exponential", [0.18887560283756186, 0.03567399334725241])
+_distribute("distribute_flat", "flat", [1.0, 1.0])
+
+
+def _profile(name: str, sql_of) -> None:
+    lo, hi = sql_of("lo"), sql_of("hi")
+    _agg(f"overlay_profile_{name}", f"""SELECT route, rid, round(sum({hi} - {lo}), 6) AS share FROM (
+      SELECT s.route, s.rid, (least(s.end_m, r.end_m) - r.beg_m) / (r.end_m - r.beg_m) AS hi, (greatest(s.beg_m, r.beg_m) - r.beg_m) / (r.end_m - r.beg_m) AS lo FROM fx_seg s {OVER}) GROUP BY ALL""",
+         lambda spark, d: (lambda s: _own(s, s.relate(lin(spark, d)).overlay(profile=name).groupBy(F.col("l_rid").alias(RID)).agg(F.round(F.sum("w"), 6).alias("share")), "share"))(seg(spark, d)))
+
+
+_profile("parabolic", lambda t: f"(3 * {t} * {t} - 2 * {t} * {t} * {t})")
+_profile("trapezoidal", lambda t: f"(4.0::DOUBLE / 3 * CASE WHEN {t} < 0.25 THEN 2 * {t} * {t} WHEN {t} <= 0.75 THEN {t} - 0.125 ELSE 0.75 - 2 * (1 - {t}) * (1 - {t}) END)")
+# the bins' width is found from the tables
+_agg("count_by_found_width", "SELECT s.route, s.rid, count(p.rid) AS n FROM fx_seg s LEFT JOIN fx_pts p ON p.route = s.route AND p.loc >= s.beg_m AND p.loc < s.end_m GROUP BY ALL",
+     lambda spark, d: (lambda s: _own(s, s.relate(pts(spark, d)).count(name="n"), "n"))(seg(spark, d)))
+_agg("sum_by_found_width", f"SELECT s.route, s.rid, coalesce(round(sum({WN} * r.price), 4), 0.0) AS price FROM fx_seg s LEFT {OVER} GROUP BY ALL",
+     lambda spark, d: (lambda s: _own(s, s.relate(lin(spark, d)).sum("price"), F.round("price", 4).alias("price")))(seg(spark, d)))
+# rows of very different lengths: every thousandth reaches far along the axis
+_agg("count_long_rows", """, w AS (SELECT route, rid, beg_m, CASE WHEN gid % 1000 = 0 THEN beg_m + 100000 ELSE end_m END AS end_m FROM fx_lin)
+  SELECT w.route, w.rid, count(p.rid) AS n FROM w LEFT JOIN fx_pts p ON p.route = w.route AND p.loc >= w.beg_m AND p.loc < w.end_m GROUP BY ALL""",
+     lambda spark, d: (lambda f: _own(f, f.relate(pts(spark, d), 1.0).count(name="n"), "n"))((lambda f: f._with(f.df.withColumn("end_m", F.when(F.col(RID) % 1000 == 0, F.col("beg_m") + 100000).otherwise(F.col("end_m")))))(lin(spark, d))))
+_agg("equal_groups", "SELECT s.route, count(*) AS n, CAST(sum(p.rid) AS BIGINT) AS ids FROM fx_seg s JOIN fx_pts p ON p.route = s.route GROUP BY ALL",
+     lambda spark, d: (lambda s: s.df.select("route", RID).join(s.relate(pts(spark, d)).equal_groups(), F.col(RID) == F.col("l_rid")).groupBy("route").agg(F.count("*").alias("n"), F.sum("r_rid").alias("ids")))(seg(spark, d)))
+
+
 # transforms
 
 _agg("dissolve_chain", """, b AS (SELECT *, CASE WHEN lag(end_m) OVER w = beg_m THEN 0 ELSE 1 END AS k FROM fx_chain WINDOW w AS (PARTITION BY route ORDER BY beg_m, end_m, rid)),
@@ -207,8 +233,8 @@ for _keep, _sql in (("first", "row_number() OVER (PARTITION BY route, beg_m, end
     _agg(f"find_same_{_keep}", f"SELECT route, rid, {_sql} AS duplicated FROM fx_lin", lambda spark, d, keep=_keep: (lambda f: _own(f, f.find_same(keep), "duplicated"))(lin(spark, d)))
 _agg("duplicated_points", "SELECT route, rid, row_number() OVER (PARTITION BY route, loc ORDER BY rid) > 1 AS duplicated FROM fx_pts", lambda spark, d: (lambda f: _own(f, f.duplicated(), "duplicated"))(pts(spark, d)))
 _agg("neighbours", """, n AS (SELECT *, lead(beg_m) OVER w AS nb, coalesce(lag(end_m) OVER w <> beg_m, TRUE) AS k FROM fx_chain WINDOW w AS (PARTITION BY route ORDER BY beg_m, end_m, rid))
-  SELECT route, rid, nb IS NOT NULL AS next_same_group, coalesce(nb <= end_m, FALSE) AS next_overlapping, coalesce(nb = end_m, FALSE) AS next_consecutive,
-    CAST(sum(CAST(k AS INT)) OVER (PARTITION BY route ORDER BY beg_m, end_m, rid) AS BIGINT) AS string FROM n""",
+  SELECT route, rid, nb IS NOT NULL AS next_same_group, coalesce(nb < end_m, FALSE) AS next_overlapping, coalesce(nb = end_m, FALSE) AS next_consecutive,
+    CAST(sum(CAST(k AS INT)) OVER (ORDER BY route, beg_m, end_m, rid) - 1 AS BIGINT) AS string FROM n""",
      lambda spark, d: (lambda f: _own(f, f.neighbours(), "next_same_group", "next_overlapping", "next_consecutive", "string"))(chain(spark, d)))
 
 
@@ -249,13 +275,22 @@ _agg("cluster_intervals", """, r AS (SELECT *, max(end_m) OVER (PARTITION BY rou
   i AS (SELECT *, sum(CASE WHEN reach IS NULL OR beg_m >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY beg_m, end_m, gid) AS isle FROM r),
   h AS (SELECT *, min(gid) OVER (PARTITION BY route, isle) AS head FROM i)
   SELECT route, rid, CAST(dense_rank() OVER (ORDER BY head) - 1 AS INTEGER) AS cluster FROM h""",
-     lambda spark, d: lin(spark, d).cluster().df.select("route", "rid", "cluster"))
+     lambda spark, d: lin(spark, d).cluster().df.select("route", "rid", F.col("cluster").cast("int").alias("cluster")))
 _agg("cluster_points", """, r AS (SELECT *, lag(loc) OVER (PARTITION BY route ORDER BY loc, rid) AS before FROM fx_pts),
   i AS (SELECT *, sum(CASE WHEN before IS NULL OR loc - before >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY loc, rid) AS isle FROM r),
   h AS (SELECT *, min(rid) OVER (PARTITION BY route, isle) AS head FROM i)
   SELECT rid, CAST(dense_rank() OVER (ORDER BY head) - 1 AS INTEGER) AS cluster FROM h""",
-     lambda spark, d: pts(spark, d).cluster(3.0).df.select("rid", "cluster"))
-_agg("cluster_link", None, lambda spark, d: (lambda p: p._with(p.df.withColumn("link", F.when(F.col("rid") % 50 == 0, F.col("rid") % 700))).cluster(0.0, link_col="link").df.select("rid", "cluster"))(pts(spark, d)))
+     lambda spark, d: pts(spark, d).cluster(3.0).df.select("rid", F.col("cluster").cast("int").alias("cluster")))
+_agg("cluster_link", """, i AS (SELECT rid, min(rid) OVER (PARTITION BY route, loc) AS head, CASE WHEN rid % 50 = 0 THEN rid % 700 END AS link FROM fx_pts),
+  h AS (SELECT DISTINCT head, link FROM i WHERE link IS NOT NULL),
+  r AS (SELECT head, head AS other FROM h UNION SELECT r.head, b.head FROM r JOIN h a ON a.head = r.other JOIN h b ON b.link = a.link),
+  l AS (SELECT head, min(other) AS label FROM r GROUP BY head)
+  SELECT rid, CAST(dense_rank() OVER (ORDER BY coalesce(label, i.head)) - 1 AS BIGINT) AS cluster FROM i LEFT JOIN l ON l.head = i.head""",
+     lambda spark, d: (lambda p: p._with(p.df.withColumn("link", F.when(F.col("rid") % 50 == 0, F.col("rid") % 700))).cluster(0.0, link_col="link").df.select("rid", "cluster"))(pts(spark, d)))
+_agg("components_of_overlaps", """, r AS (SELECT *, lag(loc) OVER (PARTITION BY route ORDER BY loc, rid) AS before FROM fx_pts),
+  i AS (SELECT *, sum(CASE WHEN before IS NULL OR loc - before >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY loc, rid) AS isle FROM r)
+  SELECT rid, min(rid) OVER (PARTITION BY route, isle) AS label FROM i""",
+     lambda spark, d: (lambda f: f.relate(f).components().select(F.col(RID).alias("rid"), "label"))(pts(spark, d).extend(5.0)))
 
 EDGES = """, e AS (SELECT route, beg_m AS x FROM fx_seg UNION SELECT route, end_m FROM fx_seg UNION SELECT route, beg_m FROM fx_lin UNION SELECT route, end_m FROM fx_lin),
   c AS (SELECT * FROM (SELECT route, x AS "beg", lead(x) OVER (PARTITION BY route ORDER BY x) AS "end" FROM e) WHERE "end" IS NOT NULL),
@@ -272,6 +307,12 @@ _agg("constrain_to", """, b AS (SELECT * FROM fx_seg WHERE rid % 3 <> 0), p AS (
   k AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY gid ORDER BY x) >= x THEN 0 ELSE 1 END AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY gid ORDER BY x) AS run FROM k)
   SELECT route, gid AS constrained_index, min(x) AS beg_m, max(y) AS end_m, any_value(flag) AS flag FROM r GROUP BY route, gid, run""",
      lambda spark, d: (lambda s: constrain_to(lin(spark, d), s._with(s.df.filter("rid % 3 <> 0")), width=SEG_W).df.select("route", "constrained_index", "beg_m", "end_m", "flag"))(seg(spark, d)))
+_agg("constrain_pieces", """SELECT l.route, l.gid AS constrained_index, greatest(l.beg_m, b.beg_m) AS beg_m, least(l.end_m, b.end_m) AS end_m, l.flag FROM fx_lin l JOIN fx_seg b ON l.route = b.route AND l.end_m > b.beg_m AND l.beg_m < b.end_m WHERE b.rid % 3 <> 0""",
+     lambda spark, d: (lambda s: constrain_to(lin(spark, d), s._with(s.df.filter("rid % 3 <> 0")), dissolve=False).df.select("route", "constrained_index", "beg_m", "end_m", "flag"))(seg(spark, d)))
+_agg("integrate_at_points", """, e AS (SELECT route, beg_m AS x FROM fx_seg UNION SELECT route, end_m FROM fx_seg UNION SELECT route, loc FROM fx_pts),
+  c AS (SELECT * FROM (SELECT route, x AS "beg", lead(x) OVER (PARTITION BY route ORDER BY x) AS "end" FROM e) WHERE "end" IS NOT NULL)
+  SELECT c.route, c."beg", c."end", s.gid AS integrated_index_0, CAST(NULL AS BIGINT) AS integrated_index_1 FROM c JOIN fx_seg s ON s.route = c.route AND s.end_m > c."beg" AND s.beg_m < c."end" """,
+     lambda spark, d: integrate([seg(spark, d), pts(spark, d)], split_at_locs=True))
 _agg("impute_keys", """SELECT p.rid, arg_min(s.rid % 7, (s.beg_m, s.end_m, s.gid)) AS zone FROM fx_pts p LEFT JOIN fx_seg s ON s.route = p.route AND p.loc >= s.beg_m AND p.loc < s.end_m GROUP BY ALL""",
      lambda spark, d: (lambda s: s._with(s.df.withColumn("zone", F.col("rid") % 7), LINEAR.add_key("zone")).impute_keys(pts(spark, d), ["zone"]).df.select("rid", "zone"))(seg(spark, d)))
 
@@ -325,13 +366,14 @@ def intersections(spark, d):
     return spatial.intersection_pairs(_grid(spark, d), size=200.0)
 
 
-@query("""SELECT o.rid, o.route AS line_rid, round(o.loc, 6) AS loc FROM fx_pts o WHERE o.route IN (SELECT l_suppkey FROM lineitem) AND CAST(o.loc AS BIGINT) % 30 = 0""")
-def project_nearest(spark, d):
-    p = pts(spark, d).df.filter(F.col("loc") % 30 == 0).join(lines(spark, d).df.select("route"), "route", "left_semi")
-    p = p.select("rid", RID, F.col("loc").alias("x"), (F.col("route") + (F.col("loc") / 30).cast("long") % 3).cast("double").alias("y"), "route")
-    # vertices of neighbouring axes can coincide; the point's own axis is asked for
-    out = spatial.project(p, "x", "y", lines(spark, d), buffer=5.0, nearest=False).filter((F.col("line_rid") == F.col("route")) & (F.col("distance") < 1e-9))
-    return out.select("rid", "line_rid", F.round("loc", 6).alias("loc"))
+@query(""", u AS (SELECT k * 100.0::DOUBLE + 5 AS x, 1000000 + k AS up FROM range(1, 27) t(k)),
+  n AS (SELECT x, up, route, CAST(floor(x / 30) AS BIGINT) AS i FROM u, (SELECT DISTINCT route FROM fx_seg)),
+  p AS (SELECT x, round(route + i % 3 + (x - 30.0::DOUBLE * i) / 30.0::DOUBLE * ((i + 1) % 3 - i % 3), 6) AS y, up, route FROM n)
+  SELECT x, y, string_agg(DISTINCT CAST(r AS VARCHAR), ',' ORDER BY CAST(r AS VARCHAR)) AS rids FROM (SELECT x, y, up AS r FROM p UNION SELECT x, y, route FROM p) GROUP BY x, y""")
+def intersection_nodes(spark, d):
+    n = spatial.intersection_nodes(_grid(spark, d), size=200.0)
+    n = n.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.explode("rids").alias("r"))
+    return n.groupBy("x", "y").agg(F.array_join(F.array_sort(F.collect_set(F.col("r").cast("string"))), ",").alias("rids"))
 
 
 @query(""", p AS (SELECT rid, loc AS x, CAST(route + (rid % 33) * 0.5::DOUBLE - 8 AS DOUBLE) AS y FROM fx_pts),
@@ -349,13 +391,16 @@ def project_nearest_line(spark, d):
 
 
 def _pieces(spark: SparkSession, d: str):
-    """Each segment as a line of two vertices on its axis."""
+    """Segments as bent lines of two vertices; every tenth is missing, so an axis has nine chains."""
     s = seg(spark, d)
-    at = lambda c: F.struct(F.col(c).alias("x"), F.lit(0.0).alias("y"), F.col(c).alias("m"))
-    return s._with(s.df.withColumn("geom_m", F.array(at("beg_m"), at("end_m"))), s.lrs.set_params(geom_m_col="geom_m"))
+    at = lambda c, k: F.struct(F.col(c).alias("x"), (F.col("route") + k % 3).cast("double").alias("y"), F.col(c).alias("m"))
+    return s._with(s.df.filter("rid % 10 <> 9").withColumn("geom_m", F.array(at("beg_m", F.col("rid")), at("end_m", F.col("rid") + 1))), s.lrs.set_params(geom_m_col="geom_m"))
+
+
+_BENT = ", z AS (SELECT *, sqrt(900.0::DOUBLE + ((rid + 1) % 3 - rid % 3) ** 2) AS len FROM fx_seg WHERE rid % 10 <> 9)"
 
 
-@query("SELECT route, rid, CAST(0 AS INTEGER) AS chain, CAST(rid AS INTEGER) AS place FROM fx_seg")
+@query(_BENT + " SELECT route, rid, CAST(rid // 10 AS INTEGER) AS chain, CAST(rid % 10 AS INTEGER) AS place FROM z")
 def chains_of_lines(spark, d):
     from spanway.operators.topology import chains
 
@@ -363,26 +408,44 @@ def chains_of_lines(spark, d):
     return _own(p, chains(p).drop("route"), "chain", "place")
 
 
-@query("SELECT route, CAST(0 AS INTEGER) AS chain, 91 AS vertices, 2700.0::DOUBLE AS length FROM (SELECT DISTINCT route FROM fx_seg)")
+@query(_BENT + " SELECT route, CAST(rid // 10 AS INTEGER) AS chain, 10 AS vertices, round(sum(len), 6) AS length FROM z GROUP BY route, rid // 10")
 def merged_lines(spark, d):
     from spanway.operators.topology import merge_lines
 
-    return merge_lines(_pieces(spark, d)).select("route", "chain", F.size("line").alias("vertices"), L.length(F.col("line")).alias("length"))
+    return merge_lines(_pieces(spark, d)).select("route", "chain", F.size("line").alias("vertices"), F.round(L.length(F.col("line")), 6).alias("length"))
 
 
-@query('SELECT route, rid, beg_m AS "beg", end_m AS "end" FROM fx_seg')
+@query(_BENT + """ SELECT route, rid, round(sum(len) OVER w - len, 6) AS "beg", round(sum(len) OVER w, 6) AS "end" FROM z WINDOW w AS (PARTITION BY route ORDER BY rid)""")
 def generated_events(spark, d):
     from spanway.operators.topology import generate_linear_events
 
-    return generate_linear_events(_pieces(spark, d)).df.select("route", "rid", "beg", "end")
-
-
-_RING = [(100.0, -10.0), (1000.0, -10.0), (1000.0, 10_000_000.0), (100.0, 10_000_000.0)]
-_agg("split_by_ring", "SELECT route, a::DOUBLE AS beg_m, b::DOUBLE AS end_m FROM (SELECT DISTINCT route FROM fx_seg), (VALUES (0.0, 100.0), (100.0, 1000.0), (1000.0, 2700.0)) v(a, b)",
-     lambda spark, d: spatial.split(lines(spark, d), _RING).df.select("route", "beg_m", "end_m"))
-_agg("clip_by_ring", "SELECT route, 100.0::DOUBLE AS beg_m, 1000.0::DOUBLE AS end_m FROM (SELECT DISTINCT route FROM fx_seg)",
-     lambda spark, d: spatial.clip(lines(spark, d), _RING).df.select("route", "beg_m", "end_m"))
-_agg("measures_by_length", "SELECT route, rid, beg_m AS m0, end_m AS m1, 30.0::DOUBLE AS length FROM fx_seg",
-     lambda spark, d: (lambda p: p._with(p.df.select("route", "rid", "beg_m", "end_m", RID, "geom_m"), p.lrs.set_params(geom_col="geom_m")).add_geom_m("g").df.select("route", "rid", L.first_m(F.col("g")).alias("m0"), L.last_m(F.col("g")).alias("m1"), L.length(F.col("g")).alias("length")))(_pieces(spark, d)))
-_agg("measured_text", "SELECT route, rid, beg_m AS m0, end_m AS m1 FROM fx_seg",
+    return generate_linear_events(_pieces(spark, d)).df.select("route", "rid", F.round("beg", 6).alias("beg"), F.round("end", 6).alias("end"))
+
+
+_agg("dissolve_lines", _BENT + " SELECT route, rid // 10 AS chain, min(beg_m) AS beg_m, max(end_m) AS end_m, 10 AS vertices, round(sum(len), 6) AS length FROM z GROUP BY route, rid // 10",
+     lambda spark, d: _pieces(spark, d).dissolve().df.select("route", F.floor(F.col("beg_m") / 300).alias("chain"), "beg_m", "end_m", F.size("geom_m").alias("vertices"), F.round(L.length(F.col("geom_m")), 6).alias("length")))
+_agg("merge_of_relation", _BENT + """, c AS (SELECT route, rid // 10 AS chain, max(end_m) AS end_m FROM z GROUP BY ALL)
+  SELECT c.route, c.chain, count(*) + 1 AS vertices, round(sum(len), 6) AS length FROM c JOIN z ON z.route = c.route AND z.rid // 10 = c.chain GROUP BY ALL""",
+     lambda spark, d: (lambda p: (lambda w: w.df.select("route", RID, F.floor(F.col("beg_m") / 300).alias("chain")).join(w.relate(p).line_merge_m("geom_m"), RID).select("route", "chain", F.size("geom_m").cast("long").alias("vertices"), F.round(L.length(F.col("geom_m")), 6).alias("length")))(p.dissolve(merge_geom=False)))(_pieces(spark, d)))
+
+#: A polygon with a hole; no side is parallel to the axes' lines.
+_POLYGON = {"type": "Polygon", "coordinates": [[(101.0, -50.0), (1003.0, -40.0), (1207.0, 10_000_007.0), (95.0, 10_000_001.0), (101.0, -50.0)], [(301.0, -45.0), (303.0, 10_000_000.0), (411.0, 10_000_000.0), (403.0, -45.0), (301.0, -45.0)]]}
+_SIDES = ", ".join(f"({p[0]}::DOUBLE, {p[1]}::DOUBLE, {q[0]}::DOUBLE, {q[1]}::DOUBLE)" for r in _POLYGON["coordinates"] for p, q in zip(r[:-1], r[1:], strict=True))
+_SPLIT = f""", g AS (SELECT route, i, 30.0::DOUBLE * i AS ax, (route + i % 3)::DOUBLE AS ay, ((i + 1) % 3 - i % 3)::DOUBLE AS dy FROM (SELECT DISTINCT route FROM fx_seg), range(0, 90) t(i)),
+  side AS (SELECT * FROM (VALUES {_SIDES}) v(px, py, qx, qy)),
+  x AS (SELECT *, 30.0::DOUBLE * (qy - py) - dy * (qx - px) AS det FROM g, side),
+  y AS (SELECT *, ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / det AS t, ((px - ax) * dy - (py - ay) * 30.0::DOUBLE) / det AS u FROM x WHERE det <> 0),
+  stops AS (SELECT route, round(ax + t * 30.0::DOUBLE, 6) AS m FROM y WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 UNION SELECT route, 0.0::DOUBLE FROM g UNION SELECT route, 2700.0::DOUBLE FROM g),
+  parts AS (SELECT * FROM (SELECT route, m AS beg_m, lead(m) OVER (PARTITION BY route ORDER BY m) AS end_m FROM stops) WHERE end_m IS NOT NULL)"""
+_round = lambda df: df.select("route", F.round("beg_m", 6).alias("beg_m"), F.round("end_m", 6).alias("end_m"))
+_agg("split_by_polygon", _SPLIT + " SELECT route, beg_m, end_m FROM parts", lambda spark, d: _round(spatial.split(lines(spark, d), _POLYGON).df))
+for _keep, _want in (("inside", "1"), ("outside", "0")):
+    _agg(f"clip_{_keep}_polygon", _SPLIT + f""", mid AS (SELECT *, (beg_m + end_m) / 2 AS mx, CAST(floor((beg_m + end_m) / 60) AS BIGINT) AS i FROM parts),
+      spot AS (SELECT mid.*, route + i % 3 + (mx - 30.0::DOUBLE * i) / 30.0::DOUBLE * ((i + 1) % 3 - i % 3) AS my FROM mid),
+      hits AS (SELECT route, beg_m, end_m, count(*) FILTER ((py > my) <> (qy > my) AND mx < px + (my - py) * (qx - px) / (qy - py)) AS n FROM spot, side GROUP BY ALL)
+      SELECT route, beg_m, end_m FROM hits WHERE n % 2 = {_want}""",
+         lambda spark, d, keep=_keep: _round(spatial.clip(lines(spark, d), _POLYGON, keep).df))
+_agg("measures_by_length", _BENT + " SELECT route, rid, beg_m AS m0, end_m AS m1, round(len, 6) AS length FROM z",
+     lambda spark, d: (lambda p: p._with(p.df.select("route", "rid", "beg_m", "end_m", RID, "geom_m"), p.lrs.set_params(geom_col="geom_m")).add_geom_m("g").df.select("route", "rid", L.first_m(F.col("g")).alias("m0"), L.last_m(F.col("g")).alias("m1"), F.round(L.length(F.col("g")), 6).alias("length")))(_pieces(spark, d)))
+_agg("measured_text", "SELECT route, rid, beg_m AS m0, end_m AS m1 FROM fx_seg WHERE rid % 10 <> 9",
      lambda spark, d: _pieces(spark, d).geom_m_to_wkt().parse_geom_m_wkt().extract_m_values("m0", "m1").df.select("route", "rid", "m0", "m1"))
