@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +24,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) is a local folder
-    taken, and the session told about it.
+    Only on one machine (a local master) and where the setting is absent is a local
+    folder taken, and the session told about it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spanway-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_kept: set[str] = set()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor.  Tables that a result no longer needs go by
+    ``forget``, all others of the process by ``release``."""
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _kept.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in list(paths):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _kept.discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, {df._stored_at} & _kept)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``stored`` wrote: to be called when the results that read
+    them have been written."""
+    _delete(spark, _kept)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -50,14 +79,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote and nothing will read any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z only."""
     return F.translate(F.col(text) if isinstance(text, str) else text, UPPER, LOWER)

@@ -3,7 +3,7 @@
 In every round each node goes to the neighbour (or itself) of the least hash for
 that round; edges are renamed and loops and repeats dropped, until no edge is left.
 A constant share of the nodes goes in each round, so rounds are few even for paths.
-Nothing is collected; every round is a table in the shared folder.
+Nothing is collected; every round is a table in the shared folder, and the round before goes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import stored
+from spanway.llm.common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         parents = stored(best.select("node", F.least(F.col("to"), rank("node"))["n"].alias("parent")), "parents")
         pa, pb = parents.toDF("a", "pa"), parents.toDF("b", "pb")
         renamed = own.join(pa, "a").join(pb, "b").filter("pa <> pb")
+        old = own, labels, parents
         own = stored(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         labels = stored(labels.join(parents.toDF("label", "_p"), "label", "left").select("node", F.coalesce("_p", "label").alias("label")), "labels")
+        forget(*old)
     return labels

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import ascii_words, fresh, plain_text, ship, stored, text_slices
+from spanway.llm.common import ascii_words, forget, fresh, plain_text, ship, stored, text_slices
 from spanway.llm.components import components
 
 HASHES, ROWS, BITS = 256, 4, 4
@@ -310,7 +310,9 @@ def _links(docs: DataFrame, classes: DataFrame, units: DataFrame, threshold: flo
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return stored(rows.mapInArrow(run, "a long, b long"), "links")
+    links = stored(rows.mapInArrow(run, "a long, b long"), "links")
+    forget(units, ends, full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, row: str | None = None) -> DataFrame:

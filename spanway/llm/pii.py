@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import stored
+from spanway.llm.common import forget, stored
 from spanway.llm.winnowing import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -177,9 +177,12 @@ def learn(read: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, round
         miss = F.aggregate(F.array_sort(F.collect_list("confidence")), F.lit(1.0), lambda a, c: a * (1 - c))
         new = trusted.groupBy("string", "found").agg((1 - miss).alias("score"))
         old = new.withColumn("was", F.lit(0.0)) if scores is None else new.join(scores.select("string", "found", F.col("score").alias("was")), ["string", "found"])
-        scores = stored(old, "pii-scores")
+        before, scores = scores, stored(old, "pii-scores")
+        if before is not None:
+            forget(before)
         if not (scores.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0) >= STILL:
             break
+    forget(edges)
     top = scores.groupBy("string").agg(F.max(F.struct("score", "found")).alias("m"))
     return stored(top.filter(F.col("m.score") >= accept).select("string", F.col("m.found").alias("kind")), "pii-found")
 
