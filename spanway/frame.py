@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanway.errors import GeometrySyncError, SchemaError
+from spanway.errors import GeometrySyncError, MeasureError, SchemaError
 from spanway.functions import lines
 from spanway.lrs import LRS, options
 from spanway.operators import analyze, cluster, transform
@@ -306,6 +306,21 @@ class EventFrame:
     def geom_m_to_wkt(self) -> EventFrame:
         return self._with(self.df.withColumn(self.lrs.geom_m_col, lines.to_wkt(F.col(self.lrs.geom_m_col))))
 
+    def require_measured(self, turn: bool = True) -> EventFrame:
+        """The frame with measured lines whose measures rise; falling ones are turned round
+        first if ``turn``.  Others are an error: looking for them is a job."""
+        if not self.is_spatial_m:
+            raise MeasureError("the table has no measured lines")
+        g = F.col(self.lrs.geom_m_col)
+        if turn:
+            g = F.when(lines.first_m(g) > lines.last_m(g), lines.reverse_m(g)).otherwise(g)
+        out = self._with(self.df.withColumn(self.lrs.geom_m_col, g))
+        own = F.col(self.lrs.geom_m_col)
+        bad = F.exists(own, lambda p: p["m"].isNull() | F.isnan(p["m"])) | ~lines.is_monotonic(own)
+        if not out.df.filter(own.isNotNull() & F.coalesce(bad, F.lit(True))).isEmpty():
+            raise MeasureError("measures are missing, or neither rise nor fall along a line")
+        return out
+
     def extract_m_values(self, beg_col: str = "beg", end_col: str = "end", replace: bool = False) -> EventFrame:
         if not replace and (there := {beg_col, end_col} & set(self.df.columns)):
             raise ValueError(f"{sorted(there)} are there already")

@@ -104,6 +104,27 @@ def m_to_distance(line: Column, m: Column, snap: bool = True) -> Column:
     return out if snap else F.when((m >= first_m(line)) & (m <= last_m(line)), out)
 
 
+def m_to_norm_distance(line: Column, m: Column, snap: bool = True) -> Column:
+    """Distance along the line of a measure as a share of the line's length."""
+    return _bound(line, m)(lambda g, at: F.try_divide(m_to_distance(g, at, snap), length(g)))
+
+
+def from_array(points: Column, beg: Column, end: Column | None = None) -> Column:
+    """A measured line of an array of (x, y) structs, measures by distance from ``beg``."""
+    return with_m(points, beg, end)
+
+
+def from_bounds(x0: Column, y0: Column, x1: Column, y1: Column, beg: Column, end: Column) -> Column:
+    """A measured line of two vertices."""
+    vertex = lambda x, y, m: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), m.cast("double").alias("m"))
+    return F.array(vertex(x0, y0, beg), vertex(x1, y1, end))
+
+
+def reverse_m(line: Column) -> Column:
+    """Vertices with their measures in the other order: a falling line becomes a rising one."""
+    return F.reverse(line)
+
+
 def distance_to_m(line: Column, distance: Column) -> Column:
     """Measure at a distance along the line, clamped."""
 
@@ -135,7 +156,7 @@ def cut(line: Column, beg: Column, end: Column) -> Column:
     """The part of the line between two measures, with interpolated ends; null where beg > end."""
 
     def part(g: Column, low: Column, high: Column) -> Column:
-        inner = F.filter(g, lambda p: (p["m"] > low) & (p["m"] < high))
+        inner = F.filter(g, lambda p: (p["m"] > low + 1e-10) & (p["m"] < high - 1e-10))  # no vertex twice
         return F.when(low <= high, F.concat(F.array(_point_at_m(g, low)), inner, F.array(_point_at_m(g, high))))
 
     return _bound(line, beg, end)(lambda g, b, e: _bound(g, F.greatest(b, first_m(g)), F.least(e, last_m(g)))(part))

@@ -26,10 +26,7 @@ def order_lines(starts: list[tuple], ends: list[tuple]) -> tuple[list[int], list
     follows: dict[int, int] = {}
     led = set()
     for i, e in enumerate(ends):
-        options = by_start.get(e, [])
-        while options and options[-1] == i:
-            break
-        pick = next((j for j in reversed(options) if j != i and j not in led), None)
+        pick = next((j for j in reversed(by_start.get(e, [])) if j != i and j not in led), None)
         if pick is not None:
             follows[i] = pick
             led.add(pick)
@@ -82,13 +79,26 @@ def merge_lines(frame, allow_multiple: bool = True) -> DataFrame:
     return placed.groupBy(*frame.base_keys, "chain").agg(flat.alias("line"))
 
 
-def generate_linear_events(frame, scale: float = 1.0, decimals: int | None = None, beg_col: str = "beg", end_col: str = "end"):
-    """Measures by length along each key's lines in order; they go on across chains."""
+def generate_linear_events(frame, scale: float = 1.0, decimals: int | None = None, beg_col: str = "beg", end_col: str = "end", add_chain: bool = True, add_geom_m: bool = False, geom_m_col: str = "geom_m", allow_disjoint: bool = True, replace: bool = True):
+    """Measures by length along each key's lines in order; they go on across chains.
+
+    The chain is kept as a column if ``add_chain``; ``add_geom_m`` adds lines with these
+    measures; without ``allow_disjoint`` a key of several chains is an error (a job);
+    columns that are there already are an error unless ``replace``."""
+    made = [beg_col, end_col, *(["chain"] if add_chain else []), *([geom_m_col] if add_geom_m else [])]
+    if not replace and (there := sorted(set(made) & set(frame.df.columns))):
+        raise ValueError(f"{there} are there already")
     g = frame.lrs.geom_col or frame.lrs.geom_m_col
+    found = chains(frame)
+    if not allow_disjoint and not found.filter("chain > 0").isEmpty():
+        raise TopologyError("the lines of a key aren't one chain")
     size = lines.length(F.col(g)) * scale
     size = F.rint(size * 10.0**decimals) / 10.0**decimals if decimals is not None else size
-    df = frame.df.join(chains(frame).select(RID, "chain", "place"), RID).withColumn("_len", size)
-    order = Window.partitionBy(*frame.base_keys).orderBy("chain", "place")
+    df = frame.df.drop("chain").join(found.select(RID, "chain", F.col("place").alias("_place")), RID).withColumn("_len", size)
+    order = Window.partitionBy(*frame.base_keys).orderBy("chain", "_place")
     end = F.sum("_len").over(order)
-    df = df.withColumn(end_col, end).withColumn(beg_col, F.coalesce(F.lag(end_col).over(order), F.lit(0.0))).drop("_len", "place")
-    return frame._with(df, frame.lrs.set_params(beg_col=beg_col, end_col=end_col, chain_col="chain"))
+    df = df.withColumn(end_col, end).withColumn(beg_col, F.coalesce(F.lag(end_col).over(order), F.lit(0.0))).drop("_len", "_place")
+    if add_geom_m:
+        df = df.withColumn(geom_m_col, lines.with_m(F.col(g), F.col(beg_col), F.col(end_col)))
+    lrs = frame.lrs.set_params(beg_col=beg_col, end_col=end_col, chain_col="chain" if add_chain else frame.lrs.chain_col)
+    return frame._with(df if add_chain else df.drop("chain"), lrs.set_params(geom_m_col=geom_m_col) if add_geom_m else lrs)

@@ -61,6 +61,20 @@ def lines(spark: SparkSession, sf_dir: str) -> EventFrame:
     return EventFrame(df, LINEAR.set_params(geom_m_col="geom_m"), "route")
 
 
+DATASETS = {"lin": lin, "pts": pts, "seg": seg, "chain": chain, "lines": lines}
+
+
+def list_datasets() -> list[str]:
+    """Names that ``load_dataset`` knows."""
+    return sorted(DATASETS)
+
+
+def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> EventFrame:
+    if name not in DATASETS:
+        raise ValueError(f"no dataset {name!r}; known are {list_datasets()}")
+    return DATASETS[name](spark, sf_dir)
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features as rows: their properties and ``geometry`` as an array of (x, y), or a struct for points."""
     doc = spark.read.json(path, multiLine=True).select(F.explode("features").alias("f"))

@@ -10,7 +10,8 @@ from spanway.errors import CompatibilityError, GeometrySyncError, SchemaError
 from spanway.functions import lines as L
 from spanway.functions.weights import PROFILES, decay_weights, profile_integral, resolve_profile, trapezoidal
 from spanway.lrs import CLOSURES
-from spanway.operators.spatial import clip, hausdorff, match_samples, parallel_project, project, split
+from spanway.errors import MeasureError, TopologyError
+from spanway.operators.spatial import clip, generate_intersections, hausdorff, mask_parts, match_samples, parallel_project, project, split
 from spanway.operators.topology import add_chaining, generate_linear_events, is_contiguous, merge_lines
 
 LIN = LRS(key_col=("k",), beg_col="b", end_col="e", closed="both")
@@ -381,3 +382,172 @@ def test_streams(spark, tmp_path):
     assert sorted((r.loc, r.segment_rid) for r in spark.table("met").collect()) == [(1.0, 0), (5.0, 1)]
     batch = session_runs(spark.sql("select 'a' as k, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,x) as ts from values (0),(1),(9) t(x)"), "ts", ["k"], "5 minutes", "1 hour")
     assert sorted(r.n for r in batch.collect()) == [1, 2]
+
+
+CLASHING = ["w", "t", "s", "order", "_n", "_o", "_w", "v", "l_beg", "r_rid", "count", "sum", "len", "pos"]
+
+
+def test_values_of_any_name(spark):
+    names = "k string, b double, e double, " + ", ".join(f"{c} double" for c in CLASHING)
+    left = intervals(spark, [("a", 0.0, 4.0), ("a", 9.0, 10.0)], "left")
+    right = intervals(spark, [("a", 0.0, 2.0, *[1.0 + i for i in range(len(CLASHING))]), ("a", 2.0, 4.0, *[3.0 + i for i in range(len(CLASHING))])], "left", names)
+    r = left.relate(right)
+    for i, c in enumerate(CLASHING):
+        assert column(r.sum(c), c) == [4.0 + 2 * i, 0.0] and column(r.mean(c), c) == [2.0 + i, None]
+        assert column(r.first(c), c) == [1.0 + i, None] and column(r.mode(c), c) == [1.0 + i, None]
+        assert column(r.list(c), c) == [[1.0 + i, 3.0 + i], []]
+    assert column(r.distribute("len"), "len") and r.value_counts("w").columns == ["_rid", "1.0", "3.0"]
+    named = left._with(left.df.withColumn("cluster", F.lit("old")))
+    assert [c for c in named.cluster().df.columns if c == "cluster"] == ["cluster"]
+    with pytest.raises(ValueError):
+        left.cluster(-1.0)
+
+
+def test_long_and_infinite_rows(spark):
+    inf = float("inf")
+    a = intervals(spark, [("a", 0.0, 1.0), ("a", -inf, inf), ("a", 5.0, inf), ("a", 0.0, 1e7), ("b", -inf, 0.0)], "left")
+    b = intervals(spark, [("a", float(k), float(k) + 1) for k in range(40)] + [("a", 100.0, 1e6), ("b", -1.0, 1.0)], "left")
+    ra, rb = ([r for r in f.df.select("_rid", "k", "b", "e").collect()] for f in (a, b))
+    want = sorted((x[0], y[0]) for x in ra for y in rb if x[1] == y[1] and x[3] > y[2] and x[2] < y[3])
+    for width in (None, 1.0, 50.0):
+        assert pairs_of(a.relate(b, width).intersect()) == want
+    free = a._with(a.df, a.lrs.set_params(key_col=()))
+    other = b._with(b.df, b.lrs.set_params(key_col=()))
+    assert pairs_of(free.relate(other).intersect()) == sorted((x[0], y[0]) for x in ra for y in rb if x[3] > y[2] and x[2] < y[3])
+    assert free.relate(other).equal_groups().count() == len(ra) * len(rb)
+
+
+def vertices(*points):
+    return [dict(zip("xym", map(float, p), strict=True)) for p in points]
+
+
+def measured(spark, rows, closed="left"):
+    schema = "id long, k string, b double, e double, geom_m array<struct<x:double,y:double,m:double>>"
+    data = [(i, k, g[0]["m"], g[-1]["m"], g) for i, (k, g) in enumerate(rows)]
+    return EventFrame(spark.createDataFrame(data, schema), LIN.set_params(closed=closed, geom_m_col="geom_m"), "id")
+
+
+def test_several_lines(spark):
+    one, two = vertices((0, 0, 0), (4, 0, 4)), vertices((4, 0, 4), (4, 4, 8))
+    rows = measured(spark, [("a", one), ("a", two)])
+    wide = intervals(spark, [("a", 2.0, 6.0), ("a", 0.0, 1.0), ("b", 0.0, 1.0)], "left")
+    flat = lambda g: None if g is None else [(p.x, p.y, p.m) for p in g]
+    cut = lambda how: [flat(g) for g in column(wide.cut_from(rows, multiple=how), "geom_m")]
+    assert cut("first") == [[(2, 0, 2), (4, 0, 4)], [(0, 0, 0), (1, 0, 1)], None]
+    assert cut("last")[0] == [(4, 0, 4), (4, 2, 6)]
+    assert cut("merge")[0] == [(2, 0, 2), (4, 0, 4), (4, 2, 6)] and cut("merge")[2] is None
+    assert [len(x) for x in column(wide.cut_from(rows, multiple="list"), "geom_m")] == [2, 1, 0]
+    with pytest.raises(Exception, match="several lines"):
+        wide.cut_from(rows, multiple="raise").collect()
+    with pytest.raises(ValueError):
+        wide.cut_from(rows, multiple="some")
+    assert flat(column(wide.relate(rows).line_merge_m("geom_m"), "geom_m")[0]) == [(0, 0, 0), (4, 0, 4), (4, 4, 8)]
+    spots = points(spark, [("a", 1.0), ("a", 5.0)])
+    assert [(p.x, p.y) for p in column(spots.interpolate_from(rows), "point")] == [(1, 0), (4, 1)]
+    assert [len(p) for p in column(spots.interpolate_from(rows, multiple="list"), "point")] == [1, 1]
+    merged = rows.dissolve()
+    assert flat(merged.df.first()["geom_m"]) == [(0, 0, 0), (4, 0, 4), (4, 4, 8)]
+    assert "geom_m" not in rows.dissolve(merge_geom=False).df.columns
+    apart = measured(spark, [("a", one), ("a", vertices((9, 9, 4), (9, 9, 8)))])
+    with pytest.raises(Exception, match="follow"):
+        apart.dissolve().df.collect()
+    with pytest.raises(SchemaError):
+        wide.dissolve(merge_geom=True)
+    part = constrain_to(rows, intervals(spark, [("a", 1.0, 5.0)], "left"), cut_geom=True)
+    assert sorted(flat(r.geom_m) for r in part.df.collect()) == [[(1, 0, 1), (4, 0, 4)], [(4, 0, 4), (4, 1, 5)]]
+
+
+def test_generated_intersections(spark):
+    a = [("a", vertices((0, 0, 0), (5, 0, 5))), ("a", vertices((5, 0, 5), (10, 0, 10)))]
+    b = [("b", vertices((3, -3, 100), (3, 3, 106)))]
+    f = measured(spark, a + b)
+    got = sorted((r.k, r.loc, r.x, r.y) for r in generate_intersections(f).collect())
+    assert got == [("a", 3.0, 3.0, 0.0), ("b", 103.0, 3.0, 0.0)]
+    assert generate_intersections(f, expand=False).count() == 1
+    assert generate_intersections(f, project_nodes=False).columns == ["x", "y", "rids"]
+    # lines of one key meet too, if asked for
+    assert generate_intersections(f, exclude_groups=False, project_nodes=False).count() == 2
+
+
+def test_masks(spark):
+    f = measured(spark, [("a", vertices((0, 0, 0), (10, 0, 10)))])
+    square = lambda a, b: [(a, -1), (b, -1), (b, 1), (a, 1), (a, -1)]
+    holed = {"type": "Polygon", "coordinates": [square(1, 9), square(4, 6)]}
+    spans = lambda g: sorted((r.b, r.e) for r in g.df.collect())
+    assert spans(split(f, holed)) == [(0, 1), (1, 4), (4, 6), (6, 9), (9, 10)]
+    assert spans(clip(f, holed)) == [(1, 4), (6, 9)] and spans(clip(f, holed, "outside")) == [(0, 1), (4, 6), (9, 10)]
+    assert spans(clip(f, [holed, {"type": "Polygon", "coordinates": [square(4, 5)]}])) == [(1, 4), (4, 5), (6, 9)]
+    assert spans(split(f, {"type": "LineString", "coordinates": [(2, -1), (2, 1)]})) == [(0, 2), (2, 10)]
+    assert spans(split(f, {"type": "MultiPoint", "coordinates": [(7, 0), (8, 3)]})) == [(0, 7), (7, 10)]
+    edge = {"type": "Polygon", "coordinates": [[(2, 0), (5, 0), (5, 4), (2, 4), (2, 0)]]}  # a side along the line
+    assert spans(clip(f, edge)) == [(2, 5)] and spans(clip(f, edge, predicate="within")) == []
+    assert "geom_m" in clip(f, holed).df.columns and "geom_m" not in clip(f, holed, cut_geom=False).df.columns
+    assert mask_parts({"type": "GeometryCollection", "geometries": [holed, {"type": "Point", "coordinates": (1, 2)}]})[2] == [(1.0, 2.0)]
+    for wrong in ({"type": "Circle", "coordinates": []}, [], 3):
+        with pytest.raises(TypeError):
+            split(f, wrong)
+    with pytest.raises(TypeError):
+        clip(f, {"type": "Point", "coordinates": (1, 2)})
+
+
+def test_impute_options(spark):
+    zones = EventFrame(spark.createDataFrame([(0, "a", "z1", 0.0, 5.0), (1, "a", "z2", 3.0, 9.0)], "id long, k string, zone string, b double, e double"), LIN.set_params(key_col=("k", "zone")), "id")
+    spots = points(spark, [("a", 1.0), ("a", 4.0), ("a", 50.0)])
+    values = lambda **how: column(zones.impute_keys(spots, **how).df, "zone")
+    assert values(missing="ignore") == ["z1", "z1", None] and values(func="last", missing="ignore") == ["z1", "z2", None]
+    assert values(fillna="none", missing="raise") == ["z1", "z1", "none"]
+    with pytest.warns(UserWarning):
+        values()
+    with pytest.raises(ValueError):
+        values(missing="raise")
+    with pytest.raises(KeyError):
+        values(keys=["other"])
+
+
+def test_project_options(spark):
+    f = measured(spark, [("a", vertices((0, 0, 0), (10, 0, 10)))])
+    spots = spark.createDataFrame([(1, 2.0, 1.0), (2, 50.0, 50.0)], "id long, x double, y double")
+    assert project(spots, "x", "y", f, 5.0, dropna=True, distance_col="far").columns == ["id", "x", "y", "line_rid", "loc", "far"]
+    assert project(spots, "x", "y", f, 5.0, dropna=True).count() == 1 and project(spots, "x", "y", f, 5.0).count() == 2
+    again = project(spots, "x", "y", f, 5.0)
+    with pytest.raises(ValueError):
+        project(again, "x", "y", f, 5.0)
+    assert project(again, "x", "y", f, 5.0, replace=True).columns == again.columns
+
+
+def test_generate_options(spark):
+    f = measured(spark, [("a", vertices((0, 0, 0), (3, 4, 1))), ("a", vertices((3, 4, 0), (3, 9, 1))), ("b", vertices((0, 0, 0), (1, 0, 1))), ("b", vertices((5, 0, 0), (6, 0, 1)))])
+    plain = f._with(f.df.drop("b", "e"), f.lrs.set_params(beg_col=None, end_col=None, geom_m_col=None, geom_col="geom_m"))
+    made = generate_linear_events(plain, add_geom_m=True, geom_m_col="made", add_chain=False)
+    assert "chain" not in made.df.columns and column(made.df, "end") == [5.0, 10.0, 1.0, 2.0]
+    assert column(made.df.select("_rid", L.last_m(F.col("made")).alias("m")), "m") == [5.0, 10.0, 1.0, 2.0]
+    with pytest.raises(TopologyError):
+        generate_linear_events(plain, allow_disjoint=False)
+    with pytest.raises(ValueError):
+        generate_linear_events(made, replace=False)
+
+
+def test_measured_lines_rise(spark):
+    good, falls, bad = vertices((0, 0, 0), (1, 0, 1)), vertices((0, 0, 5), (1, 0, 2)), vertices((0, 0, 0), (1, 0, 3), (2, 0, 1))
+    turned = measured(spark, [("a", good), ("a", falls)]).require_measured()
+    assert column(turned.df.select("_rid", L.first_m(F.col("geom_m")).alias("m")), "m") == [0.0, 2.0]
+    for rows, turn in (([("a", bad)], True), ([("a", falls)], False)):
+        with pytest.raises(MeasureError):
+            measured(spark, rows).require_measured(turn)
+    line = spark.range(1).select(L.from_bounds(F.lit(0), F.lit(0), F.lit(4), F.lit(3), F.lit(10), F.lit(20)).alias("g"))
+    assert line.select(L.m_to_norm_distance(F.col("g"), F.lit(15.0))).first()[0] == 0.5
+
+
+def test_neighbours_strings(spark):
+    f = intervals(spark, [("a", 0.0, 2.0), ("a", 2.0, 3.0), ("a", 5.0, 6.0), ("b", 0.0, 2.0), ("b", 1.0, 3.0)])
+    out = f.neighbours()
+    assert column(out, "string") == [0, 0, 1, 2, 3] and column(out, "next_overlapping") == [False, False, False, True, False]
+    assert column(f.neighbours(enforce_edges=True), "next_overlapping") == [True, False, False, True, False]
+
+
+def test_datasets(spark):
+    from spanway.sources.tables import list_datasets, load_dataset
+
+    assert "seg" in list_datasets() and load_dataset(spark, "seg", "/root/testdata/sf0.001").is_linear
+    with pytest.raises(ValueError):
+        load_dataset(spark, "none", "/root/testdata/sf0.001")
