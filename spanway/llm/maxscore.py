@@ -8,8 +8,10 @@ traversed for all rows of the shard, the others are probed only for rows that ar
 still competitive.  Shards' winners are merged by query.
 
 Queries are a set of rows that is stated beforehand and meets all rows block by
-block: a shard of at most 4,096 rows and a block of at most 512 queries are one unit
-of work, so neither side is broadcast or gathered.
+block.  Rows are dealt evenly to shards of about 4,096, whatever their ids, and
+queries to blocks of about 512.  A shard stays in its task while the query blocks come to it
+one after another, so neither side is broadcast or gathered, a task holds one shard
+and one block, and what is moved is the query blocks, once for each shard.
 
 Scores are whole numbers.  They are computed in float64 where no sum can reach 2^53,
 and in Python's integers else; a score that 64 bits can't hold is the largest that they can.
@@ -93,26 +95,25 @@ def search_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np
     return out
 
 
-def _packed(rows: DataFrame, per: int, name: str) -> DataFrame:
-    """Rows (id, v) packed into blocks of about ``per``: (name, ids, values, width)."""
+def _packed(rows: DataFrame, per: int, name: str) -> tuple[DataFrame, int]:
+    """(rows (id, v) packed into blocks of about ``per``: number, ids, vals, width; how many numbers)."""
     blocks = max(1, -(-rows.count() // per))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition(name).sortWithinPartitions(name, "id")
+    # dealt by place and not by id, as an id can be repeated
+    dealt = rows.withColumn("number", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    dealt = dealt.repartition("number").sortWithinPartitions("number", "id")
 
     def pack(batches):
-        for (number,), parts in _groups(batches, [name]):
+        for (number,), parts in _groups(batches, ["number"]):
             table = pa.Table.from_batches(parts)
-            for a in range(0, table.num_rows, 2 * per):  # a block can be larger where ids are repeated
-                part = table.slice(a, 2 * per)
-                lists = part.column("v").combine_chunks()
-                lens = np.diff(lists.offsets.to_numpy())
-                width = int(lens.max(initial=0))
-                values = np.zeros((len(lens), width))
-                values[np.arange(width) < lens[:, None]] = np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False))
-                ids = part.column("id").to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([int(number)], pa.int32()), pa.array([ids.tobytes()]), pa.array([values.tobytes()]), pa.array([width], pa.int32())], [name, "ids", "vals", "width"])
+            lists = table.column("v").combine_chunks()
+            lens = np.diff(lists.offsets.to_numpy())
+            width = int(lens.max(initial=0))
+            values = np.zeros((len(lens), width))
+            values[np.arange(width) < lens[:, None]] = np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False))
+            ids = table.column("id").to_numpy().astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([int(number)], pa.int32()), pa.array([ids.tobytes()]), pa.array([values.tobytes()]), pa.array([width], pa.int32())], ["number", "ids", "vals", "width"])
 
-    return stored(dealt.mapInArrow(pack, f"{name} int, ids binary, vals binary, width int"), name)
+    return stored(dealt.mapInArrow(pack, "number int, ids binary, vals binary, width int"), name), blocks
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -120,22 +121,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     ship(vectors.sparkSession)
     good = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = vectors.filter(good).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    shards = _packed(own.select("id", "v"), SHARD, "shard")
-    queries = _packed(own.filter("q").select("id", "v"), QUERIES, "qblock").toDF("qblock", "qids", "qvals", "qwidth")
-    blocks = (queries.agg(F.max("qblock")).first()[0] or 0) + 1
-    work = shards.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, "qblock")
+    shards, count = _packed(own.select("id", "v"), SHARD, "shard")
+    queries, _ = _packed(own.filter("q").select("id", "v"), QUERIES, "queries")
+    # every shard is followed by all query blocks
+    stays = shards.select(F.col("number").alias("shard"), F.lit(-1).alias("qblock"), "ids", "vals", "width")
+    comes = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.col("number").alias("qblock"), "ids", "vals", "width")
+    work = stays.union(comes).repartition("shard").sortWithinPartitions("shard", "qblock")
 
     def run(batches):
+        shard = ids = x = None
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, own_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["qids"], "<i8")
-                x = np.frombuffer(r["vals"]).reshape(len(ids), r["width"])
-                q = np.frombuffer(r["qvals"]).reshape(len(own_ids), r["qwidth"])
-                found = search_block(q, own_ids, x, ids, k)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                found_ids = np.frombuffer(r["ids"], "<i8")
+                values = np.frombuffer(r["vals"]).reshape(len(found_ids), r["width"])
+                if r["qblock"] < 0:
+                    shard, ids, x = r["shard"], found_ids, values
+                    continue
+                found = search_block(values, found_ids, x, ids, k) if r["shard"] == shard else []  # a number without rows has no shard
                 if found:
                     number, vec, score = zip(*found, strict=True)
                     number = np.array(number)
-                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[number]), pa.array(number.astype(np.int64)), pa.array(np.full(len(number), r["qblock"], np.int32)), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "number", "qblock", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found_ids[number]), pa.array(number.astype(np.int64)), pa.array(np.full(len(number), r["qblock"], np.int32)), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "number", "qblock", "vec_id", "score"])
 
     found = work.mapInArrow(run, "query_id long, number long, qblock int, vec_id long, score long")
     best = Window.partitionBy("query_id", "qblock", "number").orderBy(F.desc("score"), "vec_id")
