@@ -359,3 +359,22 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     keep = found.groupBy("label").agg(first.alias("m")).select(F.col("m.row").alias(row))
     return own.join(keep, row, "left_semi").drop(row)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS node, rid AS other FROM w UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.node, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.other GROUP BY r.node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w LEFT JOIN n USING (rid) JOIN c ON c.node = w.rid
+"""

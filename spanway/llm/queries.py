@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanway.llm.common import table
 from spanway.llm.hmm import score_texts
 from spanway.llm.maxscore import OP6_SQL, search
-from spanway.llm.minhash import document_components
+from spanway.llm.minhash import OP3_SQL, document_components
 from spanway.llm.mixing import OP5_SQL, weigh
 from spanway.llm.pii import find_personal_data
 from spanway.llm.sharding import OP2_SQL, place_documents
@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op3_near_duplicates": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op6_vector_search": OP6_SQL,
     "op8_decontamination": OP8_SQL,
