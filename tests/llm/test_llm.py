@@ -511,3 +511,33 @@ def test_pipeline(spark):
     assert minhash.document_components(out.drop("slot", "shard"), 0.8).filter("not kept").count() == 0
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert winnowing.decontaminate(out, bench).filter("contaminated").count() == 0
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    extra = [*CLASHING[:8], "slot_", "Component_ID"]
+    text = lambda k: " ".join(f"{w}{k}" for w in PROSE)
+    item = " ".join(PROSE[:12])
+    rows = [(1, text(1)), (1, text(1)), (2, text(1) + " end"), (None, text(2)), (3, None), (4, ""), (5, f"{text(3)} {item} {text(4)}"), (6, text(5)), (7, text(5)), (None, text(2))]
+    rows = [(i, t, "en", None if k == 3 else "s", None, *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    tables = {"documents": spark.createDataFrame(rows, schema), "labels": spark.createDataFrame([(1, 0, 0), (6, 1, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(9, item)], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "full" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    whole = collections.Counter(map(key, rows))
+    docs, left = tables["documents"], {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path / "full"))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left[name] = [key(r)[: len(rows[0])] for r in docs.collect()]
+        assert not collections.Counter(left[name]) - whole
+    assert len(left["toxicity"]) == 10
+    assert sorted(r[:2] for r in left["near_dedup"]) == sorted([("1", text(1)), ("", text(2)), ("3", ""), ("4", ""), ("5", rows[6][1]), ("6", text(5))])
+    assert sorted(r[0] for r in left["decontamination"]) == ["", "1", "3", "4", "6"]
+    assert set(left["sharding"]) == set(left["mixing"]) <= set(left["decontamination"])
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.columns == [*tables["documents"].columns, "slot", "shard"]
