@@ -67,7 +67,8 @@ class Relation:
             condition = contains("r", "l") if self.left.lrs.is_linear else contains("l", "r")
         extents = [f.extent for f in (self.left, self.right)]
         width = self.width or bin_width(*extents)
-        return pair_join(left, right, keys, condition, width, levels_of(width, *extents))
+        points = (not self.left.lrs.is_linear, not self.right.lrs.is_linear)
+        return pair_join(left, right, keys, condition, width, levels_of(width, *extents), points)
 
     def intersect(self, enforce_edges: bool = True, left: Sequence[str] = (), right: Sequence[str] = ()) -> DataFrame:
         """Pairs that meet: l_rid, r_rid and the asked columns with l_ and r_ in front."""

@@ -63,13 +63,15 @@ def _side(df: DataFrame, mark: str, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{mark}{c}") for c in df.columns])
 
 
-def _binned(side: DataFrame, mark: str, width: float, levels: int) -> DataFrame:
-    """Rows by (_level, _bin), with {mark}_level and the first bin {mark}_bin there."""
+def _binned(side: DataFrame, mark: str, width: float, levels: int, point: bool) -> DataFrame:
+    """Rows by (_level, _bin), with {mark}_level and the first bin {mark}_bin there; points have one bin a level."""
     beg, end = F.col(f"{mark}_beg"), F.col(f"{mark}_end")
     own = side.filter(beg <= end)
     if not levels:
         first = F.floor(beg / width)
         own = own.withColumn(f"{mark}_bin", first)
+        if point:
+            return own.withColumn("_bin", first)
         return own.withColumn("_bin", F.explode(F.sequence(first, F.floor(end / width))))
     size = end - beg
     level = F.lit(levels)
@@ -83,10 +85,10 @@ def _binned(side: DataFrame, mark: str, width: float, levels: int) -> DataFrame:
     return own.withColumn("_bin", F.explode(F.sequence(F.col(f"{mark}_bin"), F.when(last, F.lit(0).cast("long")).otherwise(at(end)))))
 
 
-def pair_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, width: float, levels: int = 0) -> DataFrame:
+def pair_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, width: float, levels: int = 0, points: tuple[bool, bool] = (False, False)) -> DataFrame:
     """Pairs of normalised rows (keys, _beg, _end, _bc, _ec and more) with l_ and r_
     in front of their columns, that meet by key and ``condition``."""
-    a, b = (_binned(_side(df, m, keys), m, width, levels) for df, m in ((left, "l"), (right, "r")))
+    a, b = (_binned(_side(df, m, keys), m, width, levels, p) for df, m, p in ((left, "l", points[0]), (right, "r", points[1])))
     by = [*keys, "_bin", *(["_level"] if levels else [])]
     met = a.join(b, by).filter((F.col("_bin") == F.greatest("l_bin", "r_bin")) & condition)
     if levels:
