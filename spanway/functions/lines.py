@@ -29,9 +29,22 @@ def length(line: Column) -> Column:
     return F.aggregate(chord_lengths(line), F.lit(0.0), lambda a, x: a + x)
 
 
-def cumulative(line: Column) -> Column:
-    """Distance of every vertex from the first."""
-    return F.aggregate(chord_lengths(line), F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def cumulative(line: Column, block: int = 128) -> Column:
+    """Distance of every vertex from the first; summed by blocks of legs, so that long
+    lines don't take work in proportion to the square of their vertices."""
+    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("out"))
+    grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    ahead = lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def whole(legs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(legs), F.lit(1)), F.lit(block))
+        return let(F.transform(starts, lambda b: F.aggregate(F.slice(legs, b, block), zero, grow)), placed)
+
+    def placed(parts: Column) -> Column:
+        before = F.aggregate(parts, zero, ahead, lambda acc: acc["out"])
+        return F.concat(F.array(F.lit(0.0)), F.flatten(F.zip_with(parts, before, lambda p, at: F.transform(p["out"], lambda x: x + at))))
+
+    return let(chord_lengths(line), whole)
 
 
 def proportions(line: Column) -> Column:

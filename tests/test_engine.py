@@ -551,3 +551,10 @@ def test_datasets(spark):
     assert "seg" in list_datasets() and load_dataset(spark, "seg", "/root/testdata/sf0.001").is_linear
     with pytest.raises(ValueError):
         load_dataset(spark, "none", "/root/testdata/sf0.001")
+
+
+def test_distances_along_long_lines(spark):
+    sizes = (1, 2, 128, 129, 130, 1000)
+    lines = spark.createDataFrame([(n, [{"x": float(i), "y": float(i % 2), "m": 0.0} for i in range(n)]) for n in sizes], "n int, g array<struct<x:double,y:double,m:double>>")
+    for r in lines.select("n", L.cumulative(F.col("g")).alias("c")).collect():
+        assert r.c == pytest.approx([i * math.sqrt(2) for i in range(r.n)])
