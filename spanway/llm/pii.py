@@ -10,8 +10,8 @@ digits masked), and, where it stands behind ``=`` or ``:``, that sign with the i
 alphabet.
 
 Patterns and instances are a graph.  A pattern belongs to the kind of which it has
-most distinct seeds; it takes part with ``SUPPORT`` of them that are at least half of its
-distinct instances.  Scores then spread in rounds until none changes by ``STILL``: a
+most distinct seeds; it takes part with ``SUPPORT`` of them, if they are at least ``PURE``
+of its seeds of all kinds, and ``KNOWN`` of its distinct instances.  Scores then spread in rounds until none changes by ``STILL``: a
 pattern's confidence is the scores of its instances (1 for seeds) over all of them and
 one more, a candidate's score is 1 - prod(1 - confidence) over its patterns of a kind.
 Candidates whose score ends at ``ACCEPT`` or more are spans of that kind.  Copies of a
@@ -49,6 +49,7 @@ MIXED = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{14,}+"
 SECRET = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?i:[0-9a-f]{40}))$"
 #: A pattern takes part with so many distinct seeds of its kind, and a candidate is a span with such a score.
 SUPPORT = 8
+PURE, KNOWN = 0.9, 0.25
 ACCEPT = 0.9
 STILL = 0.005
 ROUNDS = 50
@@ -163,8 +164,9 @@ def learn(read: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, round
     edges = stored(edges.distinct(), "pii-edges")
     sums = edges.groupBy("pattern").agg(F.count_distinct("string").alias("all"), *[F.count_if(F.col("kind") == k).alias(k) for k in ALL_KINDS])
     best = F.greatest(*[F.struct(F.col(k).alias("seeds"), F.lit(k).alias("found")) for k in ALL_KINDS])
-    sure = sums.select("pattern", "all", best.alias("b")).select("pattern", "all", "b.*")
-    sure = sure.filter((F.col("seeds") >= support) & (2 * F.col("seeds") >= F.col("all")))
+    told = sum((F.col(k) for k in ALL_KINDS[1:]), F.col(ALL_KINDS[0]))
+    sure = sums.select("pattern", "all", told.alias("told"), best.alias("b")).select("pattern", "all", "told", "b.*")
+    sure = sure.filter((F.col("seeds") >= support) & (F.col("seeds") >= PURE * F.col("told")) & (F.col("seeds") >= KNOWN * F.col("all"))).drop("told")
     # what takes part: the candidates (a seed's string is none) in patterns of a kind
     seeds = edges.filter(F.col("kind").isNotNull()).select("string").distinct()
     open_ = stored(edges.filter(F.col("kind").isNull()).select("string", "pattern").join(seeds, "string", "left_anti").join(sure, "pattern"), "pii-open")
