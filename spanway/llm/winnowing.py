@@ -172,6 +172,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, marked: int = MARKED) ->
     # explode_outer: a filter on the windows themselves would be pushed below them, and find them twice
     rows = rows.select("_row", F.explode_outer("maybe").alias("c")).select("_row", F.col("c.span").alias("span")).filter("span is not null")
     hit = stored(rows.join(_known(spans, volume), "span", "left_semi").select("_row").distinct(), "hit")
+    # a digest is 64 characters; beyond the limit documents meet them by a shuffle
+    hit = F.broadcast(hit) if hit.count() * 80 <= BROADCAST_BYTES else hit
     return docs.join(hit, digest(docs["text"]) == hit["_row"], "left_anti")
 
 
