@@ -49,13 +49,14 @@ class Relation:
             raise KeyError(f"the source lacks {missing}")
         return names
 
-    def equal_groups(self) -> DataFrame:
-        """(l_rid, r_rid) of all rows with equal keys."""
+    def equal_groups(self, keep_keys: bool = False) -> DataFrame:
+        """(l_rid, r_rid) of all rows with equal keys; with ``keep_keys`` behind the keys, by
+        which the pairs lie together, so that grouping by them shuffles no pair."""
         a, b, keys = self.left.side(), self.right.side(), self.left.keys
         pick = lambda d, n: d.select(*keys, F.col(RID).alias(n))
         if not keys:  # one group
             a, b, keys = a.withColumn("_all", F.lit(0)), b.withColumn("_all", F.lit(0)), ["_all"]
-        return pick(a, "l_rid").join(pick(b, "r_rid"), keys).select("l_rid", "r_rid")
+        return pick(a, "l_rid").join(pick(b, "r_rid"), keys).select(*(self.left.keys if keep_keys else []), "l_rid", "r_rid")
 
     def _pairs(self, values: dict[str, Sequence[str]], enforce_edges: bool = True) -> DataFrame:
         left, right, keys = self.left.side(values.get("l", ())), self.right.side(values.get("r", ())), self.left.keys

@@ -201,7 +201,7 @@ _agg("count_long_rows", """, w AS (SELECT route, rid, beg_m, CASE WHEN gid % 100
   SELECT w.route, w.rid, count(p.rid) AS n FROM w LEFT JOIN fx_pts p ON p.route = w.route AND p.loc >= w.beg_m AND p.loc < w.end_m GROUP BY ALL""",
      lambda spark, d: (lambda f: _own(f, f.relate(pts(spark, d), 1.0).count(name="n"), "n"))((lambda f: f._with(f.df.withColumn("end_m", F.when(F.col(RID) % 1000 == 0, F.col("beg_m") + 100000).otherwise(F.col("end_m")))))(lin(spark, d))))
 _agg("equal_groups", "SELECT s.route, count(*) AS n, CAST(sum(p.rid) AS BIGINT) AS ids FROM fx_seg s JOIN fx_pts p ON p.route = s.route GROUP BY ALL",
-     lambda spark, d: (lambda s: s.df.select("route", RID).join(s.relate(pts(spark, d)).equal_groups(), F.col(RID) == F.col("l_rid")).groupBy("route").agg(F.count("*").alias("n"), F.sum("r_rid").alias("ids")))(seg(spark, d)))
+     lambda spark, d: seg(spark, d).relate(pts(spark, d)).equal_groups(keep_keys=True).groupBy("route").agg(F.count("*").alias("n"), F.sum("r_rid").alias("ids")))
 
 
 # transforms

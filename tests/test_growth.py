@@ -34,3 +34,25 @@ def test_nodes_of_different_keys(spark):
     found = intersection_nodes(f, size=100.0)
     assert sorted((r.x, r.y, r.rids) for r in found.collect()) == [(5.0, float(i), [i, 9]) for i in range(4)]
     assert "r__g" in plan(found)
+
+
+def table(spark, rows, names, **lrs):
+    return EventFrame(spark.createDataFrame(rows, f"id long, k string, {names}"), LRS(key_col=("k",), **lrs), "id")
+
+
+def shuffles(df):
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[: text.find("== Initial Plan ==")].count("Exchange hashpartitioning") if "== Initial Plan ==" in text else text.count("Exchange hashpartitioning")
+
+
+def test_equal_groups_by_keys_shuffle_rows_only(spark):
+    a = table(spark, [(i, "ab"[i % 2], 0.0, 1.0) for i in range(20)], "b double, e double", beg_col="b", end_col="e")
+    p = table(spark, [(i, "ac"[i % 2], 0.0) for i in range(10)], "loc double", loc_col="loc")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = a.relate(p).equal_groups(keep_keys=True).groupBy("k").agg(F.count("*").alias("n"), F.sum("r_rid").alias("ids"))
+        assert [tuple(r) for r in found.collect()] == [("a", 50, 200)]
+        assert shuffles(found) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
