@@ -70,3 +70,16 @@ def test_interpolation_shuffles_points_and_no_lines(spark):
     assert [len(several[i]) for i in range(4)] == [2, 1, 0, 0] and several[1] == [None]
     below = plan(found).split("Union", 1)[1]
     assert "zip_with" in below.split("Join", 1)[0]  # the point is made above the join, below the grouping
+
+
+def test_a_segment_comes_to_a_cell_once_and_to_few(spark):
+    seg = spark.createDataFrame([(0, 0.0, 0.0, 30.0, 1.0), (1, -7.0, 3.0, 22.0, -40.0), (2, 5.0, 5.0, 5.0, 5.0), (3, 100.0, 0.0, -100.0, 0.0)], "id long, ax double, ay double, bx double, by double")
+    for size, margin in ((5.0, 5.0), (10.0, 2.0), (7.0, 0.0), (300.0, 1.0)):
+        cells = [(r.id, r._cx, r._cy) for r in spatial._cells(seg, size, margin).select("id", "_cx", "_cy").collect()]
+        assert len(cells) == len(set(cells))
+        # every place of the segment, moved by the margin, is in one of its cells
+        for r in seg.collect():
+            for n in range(201):
+                x, y = r.ax + (r.bx - r.ax) * n / 200, r.ay + (r.by - r.ay) * n / 200
+                for dx, dy in ((0, 0), (margin, margin), (-margin, margin), (margin, -margin), (-margin, -margin)):
+                    assert (r.id, (x + dx) // size, (y + dy) // size) in set(cells)
