@@ -31,6 +31,24 @@ def label_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def islands(frame, touch: bool) -> DataFrame:
+    """(_rid, label): the least id of the rows that a row of its key reaches by overlaps, and
+    by ends that touch if ``touch``.  Rows that take no part in relations are alone."""
+    keys = frame.keys
+    names = [f"_k{i}" for i in range(len(keys))]
+    b, e = (frame.lrs.beg_col, frame.lrs.end_col) if frame.is_linear else (frame.lrs.loc_col, frame.lrs.loc_col)
+    own = frame.df.select(RID, *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(b).cast("double").alias("_beg"), F.col(e).cast("double").alias("_end"))
+    apart = F.coalesce(F.col("_beg") > F.col("_end"), F.lit(True))
+    for c, kind in own.dtypes[1:]:
+        apart = apart | F.col(c).isNull() | (F.isnan(c) if kind in ("double", "float") else F.lit(False))
+    alone = own.filter(apart).select(RID, F.col(RID).alias("label"))
+    order = Window.partitionBy(*names).orderBy("_beg", "_end", RID)
+    reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("_beg") > reach) if touch else (F.col("_beg") >= reach), F.lit(True))
+    rows = own.filter(~apart).withColumn("_new", new.cast("int")).withColumn("_isle", F.sum("_new").over(order))
+    return rows.select(RID, F.min(RID).over(Window.partitionBy(*names, "_isle")).alias("label")).unionByName(alone)
+
+
 def cluster(frame, max_gap: float, name: str, link_col: Sequence[str] | str | None, enforce_edges: bool):
     """Rows of a key are buffered by ``max_gap`` on both sides, so gaps below twice that
     join them; those that overlap are one cluster.  Rows with equal, non-null

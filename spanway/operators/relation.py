@@ -253,6 +253,13 @@ class Relation:
     def components(self) -> DataFrame:
         """(_rid, label): connected components of a table related to itself; a label is a row's id.
 
+        Where it doesn't depend on the neighbours whether a row's ends count, components are
+        islands of the axis, found by one window over the rows of a key, without pairs; tables
+        without keys would be one task, and go by pairs."""
+        from spanway.operators.cluster import islands, label_components
+
+        if self.left is self.right and self.left.keys and not (self.left.is_linear and self.left.lrs.closed.endswith("_mod")):
+            return islands(self.left, touch=not self.left.is_linear or self.left.lrs.closed == "both")
         return label_components(self.left.df.select(RID), self._pairs({}, True).select(F.col("l_rid").alias("a"), F.col("r_rid").alias("b")))
 
 

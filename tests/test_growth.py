@@ -83,3 +83,25 @@ def test_a_segment_comes_to_a_cell_once_and_to_few(spark):
                 x, y = r.ax + (r.bx - r.ax) * n / 200, r.ay + (r.by - r.ay) * n / 200
                 for dx, dy in ((0, 0), (margin, margin), (-margin, margin), (margin, -margin), (-margin, -margin)):
                     assert (r.id, (x + dx) // size, (y + dy) // size) in set(cells)
+
+
+@pytest.mark.parametrize("closed", ["left", "both", "neither", "right", "left_mod"])
+def test_components_are_islands(spark, closed):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, "a", 0.0, 10.0), (1, "a", 10.0, 10.0), (2, "a", 10.0, 12.0), (3, "a", 5.0, 5.0), (4, "a", 6.0, 8.0), (5, "a", 12.0, 12.0), (6, "a", 12.0, 12.0), (7, "a", 30.0, 20.0), (8, "a", 25.0, 26.0),
+            (9, "a", None, 5.0), (10, None, 0.0, 5.0), (11, "b", 0.0, 5.0), (12, "b", 4.0, inf), (13, "b", 90.0, 91.0), (14, "a", nan, 4.0), (15, "b", -inf, -3.0), (16, "a", 25.5, 28.0), (17, "a", 0.0, 0.0)]
+    f = table(spark, rows, "b double, e double", beg_col="b", end_col="e", closed=closed)
+    edges = [(r.l_rid, r.r_rid) for r in f.relate(f).intersect().collect()]
+    label = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = f.relate(f).components()
+    assert {r["_rid"]: r.label for r in found.collect()} == label
+    assert found.count() == len(rows)
+    assert ("Window" in plan(found)) == (closed != "left_mod")  # without pairs, but where neighbours decide
+
+
+def test_components_of_points(spark):
+    p = table(spark, [(0, "a", 1.0), (1, "a", 1.0), (2, "a", 2.0), (3, "b", 1.0), (4, "a", None)], "loc double", loc_col="loc")
+    assert {r["_rid"]: r.label for r in p.relate(p).components().collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
