@@ -8,6 +8,8 @@ two first bins there, so it is found exactly once.  Work is in proportion to row
 pairs, not to the square of a key's rows; a hot key is spread over its bins; no row, however
 long, is repeated more than ``STEP`` times a level, and tables without long rows have one
 level.  Rows with an infinite end are a level of their own, with one bin.
+Where the other table holds points, which are all of the lowest level, an interval is
+needed at its own level alone.
 """
 
 from __future__ import annotations
@@ -63,8 +65,9 @@ def _side(df: DataFrame, mark: str, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{mark}{c}") for c in df.columns])
 
 
-def _binned(side: DataFrame, mark: str, width: float, levels: int, point: bool) -> DataFrame:
-    """Rows by (_level, _bin), with {mark}_level and the first bin {mark}_bin there; points have one bin a level."""
+def _binned(side: DataFrame, mark: str, width: float, levels: int, point: bool, alone: bool = False) -> DataFrame:
+    """Rows by (_level, _bin), with {mark}_level and the first bin {mark}_bin there; points have one
+    bin a level.  ``alone``: at the row's own level only."""
     beg, end = F.col(f"{mark}_beg"), F.col(f"{mark}_end")
     own = side.filter(beg <= end)
     if not levels:
@@ -77,7 +80,7 @@ def _binned(side: DataFrame, mark: str, width: float, levels: int, point: bool)
     level = F.lit(levels)
     for n in range(levels - 1, -1, -1):
         level = F.when(size <= width * STEP ** (n + 1), n).otherwise(level)
-    own = own.withColumn(f"{mark}_level", level).withColumn("_level", F.explode(F.sequence(f"{mark}_level", F.lit(levels))))
+    own = own.withColumn(f"{mark}_level", level).withColumn("_level", F.col(f"{mark}_level") if alone else F.explode(F.sequence(f"{mark}_level", F.lit(levels))))
     at = lambda c: F.floor(c / (F.lit(width) * F.pow(F.lit(float(STEP)), F.col("_level"))))
     last = F.col("_level") == LEVELS  # one bin for all that is there
     first = F.when(last, F.lit(0).cast("long")).otherwise(at(beg))
@@ -88,7 +91,7 @@ def _binned(side: DataFrame, mark: str, width: float, levels: int, point: bool)
 def pair_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, width: float, levels: int = 0, points: tuple[bool, bool] = (False, False)) -> DataFrame:
     """Pairs of normalised rows (keys, _beg, _end, _bc, _ec and more) with l_ and r_
     in front of their columns, that meet by key and ``condition``."""
-    a, b = (_binned(_side(df, m, keys), m, width, levels, p) for df, m, p in ((left, "l", points[0]), (right, "r", points[1])))
+    a, b = (_binned(_side(df, m, keys), m, width, levels, p, q and not p) for df, m, p, q in ((left, "l", *points), (right, "r", *points[::-1])))
     by = [*keys, "_bin", *(["_level"] if levels else [])]
     met = a.join(b, by).filter((F.col("_bin") == F.greatest("l_bin", "r_bin")) & condition)
     if levels:

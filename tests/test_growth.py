@@ -105,3 +105,17 @@ def test_components_are_islands(spark, closed):
 def test_components_of_points(spark):
     p = table(spark, [(0, "a", 1.0), (1, "a", 1.0), (2, "a", 2.0), (3, "b", 1.0), (4, "a", None)], "loc double", loc_col="loc")
     assert {r["_rid"]: r.label for r in p.relate(p).components().collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
+def test_intervals_meet_points_at_their_own_level_alone(spark):
+    from spanway.plans.pairs import _binned
+
+    rows = [(i, "a", 3.0 * i, 3.0 * i + (9.5 if i % 7 else 70000.0)) for i in range(50)]
+    f = table(spark, rows, "b double, e double", beg_col="b", end_col="e", closed="left")
+    p = table(spark, [(i, "a", 1.7 * i) for i in range(100)], "loc double", loc_col="loc")
+    want = {(r[0], i) for r in rows for i in range(100) if r[2] <= 1.7 * i < r[3]}
+    for a, b, turn in ((f, p, False), (p, f, True)):
+        got = [(r.r_rid, r.l_rid) if turn else (r.l_rid, r.r_rid) for r in a.relate(b, 1.0).intersect().collect()]
+        assert len(got) == len(want) and set(got) == want
+    side = f.side().withColumnsRenamed({"_beg": "l_beg", "_end": "l_end"})
+    assert _binned(side, "l", 1.0, 4, False, True).filter("_level <> l_level").count() == 0
