@@ -82,20 +82,21 @@ def constrain_to(frame, bounds, dissolve: bool = True, index_col: str = "constra
     others = [c for c in frame.df.columns if c not in gone]
     pairs = frame.relate(bounds, width)._pairs({"l": others}, False)
     parts = pairs.select(*keys, F.greatest("l_beg", "r_beg").alias(b), F.least("l_end", "r_end").alias(e), F.col("l_rid").alias(index_col), *[F.col(f"l_v_{c}").alias(c) for c in others]).filter(F.col(e) > F.col(b))
-    group = Window.partitionBy(index_col).orderBy(b, e)
-    reach = F.max(e).over(group.rowsBetween(Window.unboundedPreceding, -1))
     if dissolve:
+        group = Window.partitionBy(index_col).orderBy(b, e)
+        reach = F.max(e).over(group.rowsBetween(Window.unboundedPreceding, -1))
         apart = F.coalesce(F.col(b) > reach, F.lit(True)).cast("int")
         runs = parts.withColumn("_new", apart).withColumn("_run", F.sum("_new").over(group))
         first = [F.first(c).alias(c) for c in [*keys, *others]]
         parts = runs.groupBy(index_col, "_run").agg(F.min(b).alias("_b"), F.max(e).alias(e), *first).withColumnRenamed("_b", b).drop("_run")
     else:
-        # overlapping bounds share their cover: cut at every end within the row
-        edges = parts.select(index_col, F.explode(F.array(b, e)).alias("_x")).distinct()
-        cut = edges.withColumn("_y", F.lead("_x").over(Window.partitionBy(index_col).orderBy("_x"))).dropna()
-        first = [F.first(c).alias(c) for c in [*keys, *others]]
-        inside = cut.join(parts, index_col).filter((F.col("_x") >= F.col(b)) & (F.col("_y") <= F.col(e)))
-        parts = inside.groupBy(index_col, F.col("_x").alias("_b"), F.col("_y").alias("_e")).agg(*first).withColumnsRenamed({"_b": b, "_e": e})
+        # overlapping bounds share their cover: cut at every end within the row, by one sweep that
+        # counts the parts that are open from an end to the next
+        ends = F.array(F.struct(F.col(b).alias("x"), F.lit(1).alias("d")), F.struct(F.col(e).alias("x"), F.lit(-1).alias("d")))
+        sweep = Window.partitionBy(index_col).orderBy("_x")
+        swept = parts.select(*keys, index_col, *others, F.explode(ends).alias("_p")).select(*keys, index_col, *others, F.col("_p.x").alias("_x"), F.col("_p.d").alias("_d"))
+        swept = swept.withColumns({"_y": F.lead("_x").over(sweep), "_open": F.sum("_d").over(sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+        parts = swept.filter((F.col("_open") > 0) & (F.col("_y") > F.col("_x"))).withColumnsRenamed({"_x": b, "_y": e})
     parts = parts.select(*keys, b, e, index_col, *others).withColumn(RID, F.struct(F.col(index_col).alias("row"), F.col(b).alias("beg")))
     if cut_geom:
         parts = parts.withColumn(g, lines.cut(F.col(g), F.col(b), F.col(e)))

@@ -119,3 +119,13 @@ def test_intervals_meet_points_at_their_own_level_alone(spark):
         assert len(got) == len(want) and set(got) == want
     side = f.side().withColumnsRenamed({"_beg": "l_beg", "_end": "l_end"})
     assert _binned(side, "l", 1.0, 4, False, True).filter("_level <> l_level").count() == 0
+
+
+def test_pieces_of_overlapping_bounds_by_one_sweep(spark):
+    from spanway import constrain_to
+
+    own = table(spark, [(0, "a", 0.0, 20.0), (1, "a", 5.0, 6.0), (2, "b", 0.0, 9.0)], "b double, e double", beg_col="b", end_col="e")
+    bounds = table(spark, [(0, "a", -1.0, 4.0), (1, "a", 2.0, 8.0), (2, "a", 2.0, 8.0), (3, "a", 8.0, 9.0), (4, "a", 12.0, 15.0), (5, "a", 13.0, 13.0)], "b double, e double", beg_col="b", end_col="e")
+    out = constrain_to(own, bounds, dissolve=False).df
+    assert sorted((r.constrained_index, r.b, r.e) for r in out.collect()) == [(0, 0.0, 2.0), (0, 2.0, 4.0), (0, 4.0, 8.0), (0, 8.0, 9.0), (0, 12.0, 15.0), (1, 5.0, 6.0)]
+    assert plan(out).count("Join") == 1  # the pairs' own
