@@ -129,3 +129,12 @@ def test_pieces_of_overlapping_bounds_by_one_sweep(spark):
     out = constrain_to(own, bounds, dissolve=False).df
     assert sorted((r.constrained_index, r.b, r.e) for r in out.collect()) == [(0, 0.0, 2.0), (0, 2.0, 4.0), (0, 4.0, 8.0), (0, 8.0, 9.0), (0, 12.0, 15.0), (1, 5.0, 6.0)]
     assert plan(out).count("Join") == 1  # the pairs' own
+
+
+def test_axes_are_dealt_out(spark):
+    from spanway.sources.tables import lines, seg
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (seg, lines):
+        used = made(spark, SF).df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used > n // 2  # adaptive execution puts so few keys in one task
