@@ -138,3 +138,15 @@ def test_axes_are_dealt_out(spark):
     for made in (seg, lines):
         used = made(spark, SF).df.select(F.spark_partition_id().alias("p")).distinct().count()
         assert used > n // 2  # adaptive execution puts so few keys in one task
+
+
+def test_lines_are_not_made_below_their_aggregate(spark):
+    from spanway.sources.tables import lines
+
+    f = lines(spark, SF)
+    below = plan(spatial.split(f, [(1.0, -5.0), (100.0, -5.0), (50.0, 1000.0)]).df)
+    for part in below.split("Aggregate [l_suppkey")[1:]:
+        assert "zip_with" not in part.split("Relation", 1)[0]
+    short = roads(spark, [(0, "a", 0.0, 0.0, 1.0, 1.0)])
+    odd = short._with(short.df.unionByName(short.df.withColumns({"_rid": F.lit(1).cast("long"), "g": F.slice("g", 1, 1)})).unionByName(short.df.withColumns({"_rid": F.lit(2).cast("long"), "g": F.lit(None).cast(short.df.schema["g"].dataType)})))
+    assert [r["_rid"] for r in spatial._segments(odd.df, "g").collect()] == [0]
