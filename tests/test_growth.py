@@ -150,3 +150,22 @@ def test_lines_are_not_made_below_their_aggregate(spark):
     short = roads(spark, [(0, "a", 0.0, 0.0, 1.0, 1.0)])
     odd = short._with(short.df.unionByName(short.df.withColumns({"_rid": F.lit(1).cast("long"), "g": F.slice("g", 1, 1)})).unionByName(short.df.withColumns({"_rid": F.lit(2).cast("long"), "g": F.lit(None).cast(short.df.schema["g"].dataType)})))
     assert [r["_rid"] for r in spatial._segments(odd.df, "g").collect()] == [0]
+
+
+def integrated(spark):
+    from spanway import integrate
+
+    a = table(spark, [(0, "a", 0.0, 4.0), (1, "a", 2.0, 6.0), (2, "b", 0.0, 1.0)], "b double, e double", beg_col="b", end_col="e")
+    b = table(spark, [(5, "a", 3.0, 4.0), (6, "a", 8.0, 9.0), (7, "a", 8.0, 9.0), (8, "c", 0.0, 1.0)], "b double, e double", beg_col="b", end_col="e")
+    return lambda **how: integrate([a, b], **how)
+
+
+def sweep(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_gaps_are_grouped_with_the_pairs(spark):
+    found = integrated(spark)(fill_gaps=True)
+    want = [("a", 0.0, 2.0, 0, None), ("a", 2.0, 3.0, 0, None), ("a", 3.0, 4.0, 0, 5), ("a", 4.0, 6.0, 1, None), ("a", 6.0, 8.0, None, None), ("a", 8.0, 9.0, None, 6), ("b", 0.0, 1.0, 2, None), ("c", 0.0, 1.0, None, 8)]
+    assert sweep(found) == sorted(want, key=str)
+    assert plan(found).count("min(") <= 2  # one grouping finds both tables' ids
