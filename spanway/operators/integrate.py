@@ -59,18 +59,16 @@ def integrate(frames: Sequence, fill_gaps: bool = False, split_at_locs: bool = F
             if not f.is_linear:
                 out = out.withColumn(n, F.lit(None).cast(dict(f.df.dtypes)[RID]))
         return out.select(*keys, "beg", "end", *names)
-    out = pieces
+    # pieces that no table covers come in with ``fill_gaps`` alone; else the tables' pairs are all that is joined
+    out = pieces if fill_gaps else None
     for n, f in linear:
         met = pair_join(cells, f.side().select(*keys, "_beg", "_end", F.col(RID).alias("_id")), keys, overlaps(False), width, levels)
-        out = out.join(met.select(*base, F.col("r_id").alias(n)), [*keys, "beg", "end"], "left")
+        met = met.select(*base, F.col("r_id").alias(n))
+        out = met if out is None else out.join(met, [*keys, "beg", "end"], "left" if fill_gaps else "full")
     for n, f in zip(names, frames, strict=True):
         if not f.is_linear:
             out = out.withColumn(n, F.lit(None).cast(dict(f.df.dtypes)[RID]))
-    out = out.select(*keys, "beg", "end", *names)
-    covered = F.lit(False)
-    for n, _ in linear:
-        covered = covered | F.col(n).isNotNull()
-    return out if fill_gaps else out.filter(covered)
+    return out.select(*keys, "beg", "end", *names)
 
 
 def constrain_to(frame, bounds, dissolve: bool = True, index_col: str = "constrained_index", width: float | None = None, cut_geom: bool = False):

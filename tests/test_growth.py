@@ -169,3 +169,11 @@ def test_gaps_are_grouped_with_the_pairs(spark):
     want = [("a", 0.0, 2.0, 0, None), ("a", 2.0, 3.0, 0, None), ("a", 3.0, 4.0, 0, 5), ("a", 4.0, 6.0, 1, None), ("a", 6.0, 8.0, None, None), ("a", 8.0, 9.0, None, 6), ("b", 0.0, 1.0, 2, None), ("c", 0.0, 1.0, None, 8)]
     assert sweep(found) == sorted(want, key=str)
     assert plan(found).count("min(") <= 2  # one grouping finds both tables' ids
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_expanded_pieces_are_joined_without_gaps(spark, gaps):
+    found = integrated(spark)(expand=True, fill_gaps=gaps)
+    want = [("a", 0.0, 2.0, 0, None), ("a", 2.0, 3.0, 0, None), ("a", 2.0, 3.0, 1, None), ("a", 3.0, 4.0, 0, 5), ("a", 3.0, 4.0, 1, 5), ("a", 4.0, 6.0, 1, None), ("a", 8.0, 9.0, None, 6), ("a", 8.0, 9.0, None, 7), ("b", 0.0, 1.0, 2, None), ("c", 0.0, 1.0, None, 8)]
+    assert sweep(found) == sorted(want + ([("a", 6.0, 8.0, None, None)] if gaps else []), key=str)
+    assert plan(found).count("Join") == (4 if gaps else 3)
