@@ -114,24 +114,29 @@ def plain_text(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.ascontiguousarray(offsets - first)), data)
 
 
-def ascii_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def ascii_word_codes(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
 
-    Returns (code of each word, the distinct words, offsets of each row).
+    Returns (code of each word, the distinct words as an Arrow array, offsets of each row).
     """
     split = pc.ascii_split_whitespace(pc.ascii_lower(text))
     offsets = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     base = int(offsets[0])
     words = split.values.slice(base, int(offsets[-1]) - base).dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = words.dictionary.to_pylist()
     offsets = offsets - base
-    if "" in names:
-        keep = codes != names.index("")
+    if (empty := pc.index(words.dictionary, "").as_py()) >= 0:
+        keep = codes != empty
         kept = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(keep, out=kept[1:])
         offsets, codes = kept[offsets], codes[keep]
-    return codes, names, offsets
+    return codes, words.dictionary, offsets
+
+
+def ascii_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """``ascii_word_codes`` with the distinct words as a list."""
+    codes, names, offsets = ascii_word_codes(text)
+    return codes, names.to_pylist(), offsets
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

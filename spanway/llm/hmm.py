@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanway.llm.common import ascii_words, plain_text, ship, stored, text_slices
+from spanway.llm.common import ascii_word_codes, plain_text, ship, stored, text_slices
 
 STATES, FREQUENT, CLASSES, LOCAL = 8, 4096, 512, 65_536
 SYMBOLS = FREQUENT + CLASSES + 1
 END = SYMBOLS - 1
 SEGMENT, MARGIN = 256, 16
+SIDE_BY_SIDE = 1 << 21  # tokens of the texts that are scored at once
 ROUNDS, GAIN = 4, 1e-3
 SMOOTH = 0.1
 
@@ -53,6 +54,29 @@ def word_classes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(w.encode()[-3:]) % CLASSES for w in words), np.int64, len(words))
 
 
+def hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_keys`` and ``word_classes`` of an Arrow array of strings, from its bytes: no word
+    becomes a string of Python's, and a class is found once for all words that end alike."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, places, data = words.buffers()
+    at = np.frombuffer(places, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = data.to_pybytes() if data is not None else b""
+    cuts = at.tolist()
+    keys = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), np.uint64, len(words)).view(np.int64)
+    # the last three bytes behind a 1, so that shorter words differ from those that begin with zeros
+    size = np.diff(at)
+    octets = np.frombuffer(b"\0\0\0" + raw, np.uint8)
+    tail = np.int64(1) << (8 * np.minimum(size, 3))
+    for k in range(3):
+        tail |= np.where(size > k, octets[at[1:] + 2 - k].astype(np.int64) << (8 * k), 0)
+    ends, which = np.unique(tail, return_inverse=True)
+    ends = [n.to_bytes(4, "big") for n in ends.tolist()]
+    classes = np.fromiter((xxhash.xxh32_intdigest(e[e.index(1) + 1 :]) % CLASSES for e in ends), np.int64, len(ends))
+    return keys, classes[which]
+
+
 class Model:
     """start (states), move (states x states), emit (states x symbols)."""
 
@@ -94,43 +118,49 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
     order = np.argsort(-size, kind="stable")
     at, size, lead, first = at[order], size[order], lead[order], rank[order] == 0
     stop = lead + own[order]
-    emit = np.ascontiguousarray(model.emit.T)
-    live = [int(n) for n in np.searchsorted(-size, -np.arange(int(size[0])), "left")]
-    seen = [emit[symbols[at[:n] + t]] for t, n in enumerate(live)]
-    alpha, gain = [], 0.0
-    for t, n in enumerate(live):
-        # what comes before a segment begins in any state
-        a = (np.where(first[:n, None], model.start, 1 / s) if t == 0 else alpha[-1][:n] @ model.move) * seen[t]
-        scale = a.sum(1)
-        counted = (lead[:n] <= t) & (t < stop[:n])
-        gain += float(np.log10(scale[counted]).sum())
-        alpha.append(a / scale[:, None])
-    beta = np.ones((live[-1], s))
+    # of all segments their first tokens, then their second ones, ...: states are rows, tokens columns
+    live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+    ends = np.cumsum(live)
+    row = np.arange(ends[-1]) - np.repeat(ends - live, live)
+    step = np.repeat(np.arange(len(live)), live)
+    flat = symbols[at[row] + step]
+    counted = ((lead[row] <= step) & (step < stop[row])).astype(float)
+    del row, step
+    seen = np.take(model.emit, flat, axis=1)
+    alpha, beta, scales = np.empty_like(seen), np.empty_like(seen), np.empty(len(flat))
+    onto = np.ascontiguousarray(model.move.T)
+    cuts = list(zip((ends - live).tolist(), ends.tolist(), strict=True))
+    for t, (a, b) in enumerate(cuts):
+        here, now = seen[:, a:b], alpha[:, a:b]
+        if t:
+            c = cuts[t - 1][0]
+            np.matmul(onto, alpha[:, c : c + b - a], out=now)
+        else:  # what comes before a segment begins in any state
+            now[:] = np.where(first, model.start[:, None], 1 / s)
+        now *= here
+        scale = now.sum(0)
+        scales[a:b] = scale
+        np.reciprocal(scale, out=scale)
+        now *= scale
+        here *= scale
+    gain = float(np.log10(scales) @ counted)
+    # both ways are scaled alike, so alpha * beta adds up to 1 at every token
     move = np.zeros((s, s))
-    gammas, flat = [], []
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        if len(beta) < n:
-            beta = np.concatenate([beta, np.ones((n - len(beta), s))])
-        mine = np.flatnonzero((lead[:n] <= t) & (t < stop[:n]))
-        g = (alpha[t] * beta)[mine]
-        g /= g.sum(1, keepdims=True)
-        gammas.append(g)
-        flat.append(symbols[at[mine] + t])
-        if not t:
-            out[:s] = g[first[mine]].sum(0)
-            break
-        onward = seen[t] * beta
-        before = alpha[t - 1][:n]
-        ahead = before @ model.move
-        joint = (ahead * onward).sum(1)
-        move += (before[mine] / joint[mine, None]).T @ onward[mine]
-        beta = onward @ model.move.T
-        beta /= beta.sum(1, keepdims=True)
+    beta[:, cuts[-1][0] :] = 1.0
+    for t in range(len(cuts) - 1, 0, -1):
+        (a, b), c = cuts[t], cuts[t - 1][0]
+        onward, n = seen[:, a:b], b - a
+        onward *= beta[:, a:b]
+        np.matmul(model.move, onward, out=beta[:, c : c + n])
+        beta[:, c + n : a] = 1.0
+        onward *= counted[a:b]
+        move += alpha[:, c : c + n] @ onward.T
+    alpha *= beta
+    alpha *= counted
+    out[:s] = alpha[:, : live[0]][:, first].sum(1)
     out[s : s + s * s] = (move * model.move).reshape(-1)
-    flat_all, gamma = np.concatenate(flat), np.concatenate(gammas)
     for k in range(s):
-        out[s + s * s + k * SYMBOLS : s + s * s + (k + 1) * SYMBOLS] = np.bincount(flat_all, gamma[:, k], minlength=SYMBOLS)
+        out[s + s * s + k * SYMBOLS : s + s * s + (k + 1) * SYMBOLS] = np.bincount(flat, alpha[k], minlength=SYMBOLS)
     return out, gain
 
 
@@ -141,13 +171,14 @@ def log10_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) ->
     total = np.zeros(len(lengths))
     if not len(size) or not size[0]:
         return total
-    emit = np.ascontiguousarray(model.emit.T)
     live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
-    alpha = np.tile(model.start, (int(live[0]), 1))
+    onto = np.ascontiguousarray(model.move.T)
+    alpha = np.repeat(model.start[:, None], int(live[0]), axis=1)
     for t, n in enumerate(live.tolist()):
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * emit[symbols[begins[:n] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
+        alpha = alpha if t == 0 else onto @ alpha[:, :n]
+        alpha *= np.take(model.emit, symbols[begins[:n] + t], axis=1)
+        scale = alpha.sum(0)
+        alpha /= scale
         total[:n] += np.log10(scale)
     out = np.zeros(len(lengths))
     out[order] = total
@@ -159,9 +190,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in text_slices(batches, limit=8 << 20):
-            codes, names, _ = ascii_words(plain_text(batch))
+            codes, names, _ = ascii_word_codes(plain_text(batch))
             n = np.bincount(codes, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(word_keys(names)), pa.array(word_classes(names).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "class", "n"])
+            key, cls = hashed(names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls.astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "class", "n"])
 
     words = docs.select("text").mapInArrow(run, "word long, class int, n long")
     return stored(words.filter("n > 0").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
@@ -200,6 +232,14 @@ def _batches(batches, limit: int = 1 << 18):
                     yield part, np.frombuffer(b"".join(part.column("symbols").to_pylist()), "<u2").astype(np.int64), part.column("n_tokens").to_numpy()
 
 
+def _scored(model: Model, batches):
+    """Scores of stored symbols.  A batch takes as many steps as its longest text has tokens, so
+    texts are run through in large batches, of which only one state is kept for each text."""
+    for part, symbols, lengths in _batches(batches, SIDE_BY_SIDE):
+        score = log10_likelihood(model, symbols, lengths)
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "known", "base")], pa.array(score + part.column("inner").to_numpy())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that aren't held out."""
     spark = docs.sparkSession
@@ -230,9 +270,9 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def encode(batches):
         keys, counts, ranks, logs = local.value
         for batch in text_slices(batches, limit=4 << 20):
-            codes, names, offsets = ascii_words(plain_text(batch))
+            codes, names, offsets = ascii_word_codes(plain_text(batch))
             docs_n, lens = batch.num_rows, np.diff(offsets)
-            key, cls = word_keys(names), word_classes(names)
+            key, cls = hashed(names)
             place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             found = keys[place] == key if len(keys) else np.zeros(len(key), bool)
             rank = np.where(found, ranks[place] if len(keys) else 0, LOCAL)
@@ -298,9 +338,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches):
-        for part, symbols, lengths in _batches(batches):
-            score = log10_likelihood(final.value, symbols, lengths)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "known", "base")], pa.array(score + part.column("inner").to_numpy())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+        return _scored(final.value, batches)
 
     scored = texts.select("row", "doc_id", "held_out", "n_tokens", "symbols", "known", "base", "inner").mapInArrow(forward, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
 

@@ -317,6 +317,26 @@ def test_language_model(spark, texts):
     assert hmm.score_texts(frame(spark, []), rounds=1).count() == 0
 
 
+def test_words_are_hashed_from_their_bytes():
+    words = ["a", "", "\0a", "\0\0", "\0", "abc", "é", "xyzé", "\0abc", "日本", "\1", "\1a", "\1\1\1x", "zzabc"]
+    for some in (pa.array(words), pa.array(words, pa.large_string()), pa.array(words).slice(3), pa.array([], pa.string())):
+        keys, classes = hmm.hashed(some)
+        assert keys.tolist() == hmm.word_keys(some.to_pylist()).tolist() and classes.tolist() == hmm.word_classes(some.to_pylist()).tolist()
+
+
+def test_long_texts_are_scored_side_by_side(monkeypatch):
+    rng = np.random.default_rng(3)
+    model, lengths = hmm.Model.begin(rng.integers(0, 100, hmm.SYMBOLS)), [20_000] * 40
+    symbols = [rng.integers(0, hmm.SYMBOLS, n).astype("<u2") for n in lengths]
+    zeros = pa.array([0.0] * 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array([False] * 40), pa.array(lengths), pa.array([s.tobytes() for s in symbols]), pa.array([0] * 40), zeros, zeros], ["row", "doc_id", "held_out", "n_tokens", "symbols", "known", "base", "inner"])
+    steps, plain = [], hmm.log10_likelihood
+    monkeypatch.setattr(hmm, "log10_likelihood", lambda m, s, n: steps.append(int(n.max())) or plain(m, s, n))
+    got = [x for part in hmm._scored(model, [batch]) for x in part.column("score").to_pylist()]
+    assert steps == [20_000]  # not once for every 2^18 tokens
+    assert got[::13] == pytest.approx([plain(model, s.astype(np.int64), np.array([len(s)]))[0] for s in symbols[::13]])
+
+
 def test_mixing(spark, texts):
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}", 1, "r", "l") for i, t in enumerate([" ".join(PROSE[: 3 + i % 17]) for i in range(400)] + [None, ""])]
     docs = spark.createDataFrame(rows, SCHEMA)
