@@ -76,14 +76,19 @@ class Relation:
         return self._pairs({"l": left, "r": right}, enforce_edges).select("l_rid", "r_rid", *[f"l{_name(c)}" for c in left], *[f"r{_name(c)}" for c in right])
 
     def _overlay(self, pairs: DataFrame, normalize: bool, norm_by: str, profile) -> DataFrame:
-        """Adds w, the (normalised, profiled) overlap."""
+        """Adds w, the (normalised, profiled) overlap; pairs without any can be left out."""
         own = norm_by[0]
         beg, size = F.col(f"{own}_beg"), F.col(f"{own}_end") - F.col(f"{own}_beg")
         low, high = F.greatest("l_beg", "r_beg"), F.least("l_end", "r_end")
         if profile is not None:
             f = resolve_profile(profile)
-            share = F.when((high > low) & (size > 0), f(F.try_divide(high - beg, size)) - f(F.try_divide(low - beg, size))).otherwise(0.0)
-            return pairs.withColumn("w", share)
+            # Both places are made into columns by a generator, which no filter passes: else each use of a
+            # place in the profile, and the profile in a filter on w, becomes its formula, twice inside the
+            # join, and the join's generated method gets too long (8,000 bytes) for the JVM to compile.
+            place = lambda c: F.try_divide(c - beg, size)
+            met = pairs.filter((high > low) & (size > 0))
+            placed = met.select("*", F.inline(F.array(F.struct(place(low).alias("_low"), place(high).alias("_high")))))
+            return placed.withColumn("w", f(F.col("_high")) - f(F.col("_low"))).drop("_low", "_high")
         over = F.greatest(high - low, F.lit(0.0))
         return pairs.withColumn("w", F.coalesce(F.try_divide(over, size), F.lit(0.0)) if normalize else over)
 

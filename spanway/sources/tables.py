@@ -48,7 +48,8 @@ def seg(spark: SparkSession, sf_dir: str) -> EventFrame:
     """90 segments of 30 days for each axis."""
     df = _axes(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(89).cast("long"))))
     df = df.select("route", (F.col("k") * 30).cast("double").alias("beg_m"), ((F.col("k") + 1) * 30).cast("double").alias("end_m"), F.col("k").alias("rid"))
-    return EventFrame(df.withColumn("_rid", F.col("route") * 1000 + F.col("rid")), LINEAR)
+    # Spark takes 90 segments for as many bytes as their axis: adaptive execution would broadcast them, however many
+    return EventFrame(df.withColumn("_rid", F.col("route") * 1000 + F.col("rid")).hint("merge"), LINEAR)
 
 
 def chain(spark: SparkSession, sf_dir: str) -> EventFrame:

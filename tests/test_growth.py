@@ -1,5 +1,7 @@
 """Steps that must grow with their input: what meets, what is shuffled, how rows are dealt out."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,44 @@ def test_expanded_pieces_are_joined_without_gaps(spark, gaps):
     want = [("a", 0.0, 2.0, 0, None), ("a", 2.0, 3.0, 0, None), ("a", 2.0, 3.0, 1, None), ("a", 3.0, 4.0, 0, 5), ("a", 3.0, 4.0, 1, 5), ("a", 4.0, 6.0, 1, None), ("a", 8.0, 9.0, None, 6), ("a", 8.0, 9.0, None, 7), ("b", 0.0, 1.0, 2, None), ("c", 0.0, 1.0, None, 8)]
     assert sweep(found) == sorted(want + ([("a", 6.0, 8.0, None, None)] if gaps else []), key=str)
     assert plan(found).count("Join") == (4 if gaps else 3)
+
+
+def test_a_profile_stays_out_of_the_join(spark):
+    from spanway.functions.weights import PROFILES
+    from spanway.queries import QUERIES
+
+    inf = float("inf")
+    own = [(0, "a", 0.0, 10.0), (1, "a", 10.0, 20.0), (2, "a", 5.0, 5.0), (3, "a", -5.0, 40.0), (4, "b", 0.0, 1.0)]
+    other = [(0, "a", 2.0, 14.0), (1, "a", 10.0, 12.0), (2, "a", 6.0, 6.0), (3, "a", 20.0, 30.0), (4, "c", 0.0, 1.0), (5, "a", 0.5, 0.5 + 3.0), (6, "a", -9.0, None)]
+    a, b = (table(spark, rows, "b double, e double", beg_col="b", end_col="e") for rows in (own, other))
+    ramp = lambda t: 4 / 3 * (2 * t * t if t < 0.25 else t - 0.125 if t <= 0.75 else 0.75 - 2 * (1 - t) ** 2)
+    want = {(l[0], r[0]): ramp((min(l[3], r[3]) - r[2]) / (r[3] - r[2])) - ramp((max(l[2], r[2]) - r[2]) / (r[3] - r[2])) for l in own for r in other if r[3] is not None and l[1] == r[1] and min(l[3], r[3]) > max(l[2], r[2])}
+    assert {(r.l_rid, r.r_rid): r.w for r in a.relate(b).overlay(profile="trapezoidal").collect()} == pytest.approx(want)
+    endless = table(spark, [(0, "a", 0.0, inf)], "b double, e double", beg_col="b", end_col="e")
+    assert [r.w for r in endless.relate(a).overlay(profile=PROFILES["trapezoidal"]).filter("r_rid = 1").collect()] == [1.0]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name in ("trapezoidal", "triangular", "parabolic"):
+            made = QUERIES[f"overlay_profile_{name}"](spark, SF)
+            joins = [line for line in plan(made).splitlines() if "Join" in line]
+            assert joins and not any("CASE" in line or " * " in line for line in joins)
+            text = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 4000  # the JVM compiles no method beyond 8,000 bytes
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_segments_are_not_broadcast(spark):
+    from spanway.queries import QUERIES
+
+    made = QUERIES["overlay_profile_trapezoidal"](spark, SF)
+    assert made.count() > 0
+    made.collect()
+    text = made._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")]
+    # their number is 90 times what Spark takes it for, so that it would broadcast millions
+    assert final.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in final
